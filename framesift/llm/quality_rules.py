@@ -60,7 +60,7 @@ def _repeat_words(windows: Column) -> Column:
 def base_features(docs: DataFrame) -> DataFrame:
     """doc_id, text-free features, the base verdict and word hashes `hs`, one row per input row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashed = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         "doc_id",
@@ -69,9 +69,10 @@ def base_features(docs: DataFrame) -> DataFrame:
         lines.alias("lines"),
         F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"),
     )
+    hashed = hashed.withColumn("bs", bigrams(F.col("hs")))
     windows = F.transform(
-        F.slice("hs", F.lit(1), F.greatest(F.size("hs") - 4, F.lit(0))),
-        lambda h, i: F.xxhash64(h, *(F.get("hs", i + k) for k in range(1, 5))),
+        F.slice("bs", F.lit(1), F.greatest(F.size("hs") - 4, F.lit(0))),
+        lambda b, i: F.xxhash64(b, F.get("bs", i + 2), F.get("hs", i + 4)),
     )
     seen = hashed.select(
         "rid",
@@ -82,33 +83,38 @@ def base_features(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("windows"),
         "hs",
+        "bs",
     )
     out = seen.withColumn("n_repeat_words", _repeat_words(F.col("windows"))).drop("windows")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
-def ngram_buckets(hs: Column) -> Column:
-    """Bucket numbers of all 1-grams and 2-grams of an array of word hashes."""
-    one = F.transform(hs, lambda h: F.shiftrightunsigned(h, 48).cast("int"))
-    two = F.transform(
-        F.slice(hs, F.lit(1), F.greatest(F.size(hs) - 1, F.lit(0))),
-        lambda h, i: (F.shiftrightunsigned(F.xxhash64(h, F.get(hs, i + 1)), 48) + ORDER_BUCKETS).cast("int"),
+def bigrams(hs: Column) -> Column:
+    """Hashes of neighbouring pairs of an array of word hashes."""
+    return F.transform(
+        F.slice(hs, F.lit(1), F.greatest(F.size(hs) - 1, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(hs, i + 1))
     )
-    return F.concat(one, two)
+
+
+def bucket_of(h: Column, i: Column, ones: Column) -> Column:
+    """Bucket of the i-th hash of an array of `ones` 1-gram hashes followed by 2-gram hashes."""
+    return (F.shiftrightunsigned(h, 48) + F.when(i < ones, 0).otherwise(ORDER_BUCKETS)).cast("int")
 
 
 def bucket_weights(docs: DataFrame, trusted_ids: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """bucket int, w double: log p_target - log p_raw, written to scratch (at most 2 * ORDER_BUCKETS
     rows). Empty without trusted n-grams. `trusted_ids` must be bounded; it is broadcast."""
     hs = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
-    flagged = docs.select(F.col("doc_id").alias("_d"), hs.alias("hs")).join(
+    hashed = docs.select(F.col("doc_id").alias("_d"), hs.alias("hs")).withColumn("bs", bigrams(F.col("hs")))
+    flagged = hashed.join(
         F.broadcast(trusted_ids.select(F.col("doc_id").alias("_t"), F.lit(1).alias("hit"))),
         F.col("_d") == F.col("_t"),
         "left",
     )
     counts = (
-        flagged.select("hit", F.explode(ngram_buckets(F.col("hs"))).alias("bucket"))
+        flagged.select("hit", F.posexplode(F.concat("hs", "bs")).alias("i", "h"), (F.size("hs")).alias("ones"))
+        .select("hit", bucket_of(F.col("h"), F.col("i"), F.col("ones")).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("hit").alias("t"), F.count(F.lit(1)).alias("r"))
     )
@@ -125,8 +131,9 @@ def score_rules(docs: DataFrame, weights: DataFrame, threshold: float = THRESHOL
     """The base features, `llr` (mean log-ratio; null without words or weights) and `kept`."""
     carried = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     spread = base_features(docs).select(
-        "rid", *carried, F.explode_outer(ngram_buckets(F.col("hs"))).alias("b")
+        "rid", *carried, F.size("hs").alias("ones"), F.posexplode_outer(F.concat("hs", "bs")).alias("i", "h")
     )
+    spread = spread.withColumn("b", bucket_of(F.col("h"), F.col("i"), F.col("ones")))
     joined = spread.join(F.broadcast(weights), F.col("b") == F.col("bucket"), "left")
     scored = joined.groupBy("rid").agg(
         *(F.first(c).alias(c) for c in carried), F.sum("w").alias("s"), F.count("w").alias("n")
