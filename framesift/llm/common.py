@@ -67,6 +67,17 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows sent to Python at a time: texts can be long, so fewer than Spark's 10,000. A smaller
+    setting is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 # ---------------------------------------------------------------- numpy hashing
 
 U = np.uint64

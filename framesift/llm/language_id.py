@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, table
+from .common import fold, held_out, small_batches, table
 
 FOLDS, HELD = 5, 0
 LANG_BYTES = 48_000  # bound on the sample of one language
@@ -200,6 +200,7 @@ _parsers: dict[int, Parser] = {}
 def predict_language(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """docs with held_out, lang_pred and score. The samples are broadcast; each Python worker
     builds the automata once."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, utf8, word_hashes
+from .common import U, small_batches, utf8, word_hashes
 
 BITS = 22
 DIM = 1 << BITS
@@ -120,6 +120,7 @@ def gather(rows: DataFrame, features: Features) -> tuple[list[np.ndarray], np.nd
         for p in parts:
             yield pd.DataFrame({"doc_id": p["doc_id"], "y": p["y"], "f": [present(t, features).tobytes() for t in p["text"]]})
 
+    small_batches(rows.sparkSession)
     got = rows.mapInPandas(read, "doc_id long, y int, f binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["f"])))  # the same model whatever the order of tasks
     return [np.frombuffer(r["f"], np.int32) for r in got], np.array([r["y"] for r in got], np.int64)
@@ -158,6 +159,7 @@ def constant(y: np.ndarray) -> Model:
 
 def score_column(docs: DataFrame, model: Model, features: Features) -> Column:
     """Scores of docs.text; only the text goes to Python and the model is broadcast once (16 MB)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

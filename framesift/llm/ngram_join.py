@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix64, table, utf8, word_hashes
+from .common import U, cut, mix64, small_batches, table, utf8, word_hashes
 from .components import connected_components
 
 N = 5
@@ -41,8 +41,8 @@ NUM, DEN = 3, 4  # threshold 0.75
 HOT_TOKENS = 1 << 20  # bound on tokens known as frequent
 HOT_DF = 32  # least document frequency of one
 BLOOM_BITS = 1 << 24
-FLUSH = 1 << 21  # tokens packed together by a task
-RANGE_TOKENS = 1 << 21  # tokens aimed at for one range
+FLUSH = 1 << 19  # tokens packed together by a task
+RANGE_TOKENS = 1 << 20  # tokens aimed at for one range
 
 _MULT = mix64(np.arange(101, 101 + N, dtype=U)) | U(1)
 
@@ -295,6 +295,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     sets = set_table(docs)
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     if total:

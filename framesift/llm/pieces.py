@@ -8,10 +8,10 @@ the end with the exact conditional probabilities. Draws come from a counter-base
 row key, the place of the word in its text and the step, so a row's segmentation is the same in
 any partition, batch or rerun.
 
-No piece reaches over the start of a word (a space after a non-space) or over a line end;
-pieces that would are left out of the lattice. So the lattice factorises into words: the
-forward pass runs once for each distinct word of a batch, all words in lock step, and the
-backward pass runs over all word occurrences in lock step. Spaces are U+2581 in pieces; a
+Between two characters that stand side by side in no piece no arc can cross, as before a word,
+around a line end and at most punctuation. There the lattice factorises into units: the
+forward pass runs once for each distinct unit of a batch, all units in lock step, and the
+backward pass runs over all occurrences in lock step. Spaces are U+2581 in pieces; a
 U+2581 of the text itself goes through byte pieces, nothing is normalised, and decoding gives
 back every text exactly.
 
@@ -28,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, mix64, table
+from .common import U, mix64, small_batches, table
 
 SHARPNESS = 1.0
 SEED = 20_240_607
-CHARS = 1 << 21  # characters of one lock-step batch
+CHARS = 1 << 20  # characters of one lock-step batch
+CACHE_SLOTS = 1 << 19
 _CODE = 1 << 24  # arcs from here on are characters to be spelled in bytes
 _FOREIGN = 0x110000  # stands for a U+2581 of the text itself
 
@@ -63,14 +65,9 @@ def load_vocabulary(path: str) -> tuple[list[str], list[float], list[int]]:
     return pieces, [m.get_score(i) for i in range(size)], bytes_
 
 
-def _within_word(piece: str) -> bool:
-    body = piece.lstrip("▁")
-    return "▁" not in body and "\n" not in piece
-
-
 class Lattice:
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], sharpness: float = SHARPNESS) -> None:
-        used = [i for i, p in enumerate(pieces) if p and _within_word(p)]
+        used = [i for i, p in enumerate(pieces) if p]
         ranked = all(scores[i] == int(scores[i]) for i in used)
         weight = {i: sharpness * (-np.log(10 - scores[i]) if ranked else scores[i]) for i in used}
         self.width = max(len(pieces[i]) for i in used)
@@ -94,13 +91,28 @@ class Lattice:
         self.node_weight = np.full(count, -np.inf, np.float32)
         for node, i in self.piece_at.items():
             self.node_piece[node], self.node_weight[node] = i, weight[i]
+        empty = np.zeros((0, self.width))
+        self.cache = (np.zeros(0, U), np.zeros(0, np.int64), empty.astype(np.float32), empty.astype(np.int32))
         self.first = np.zeros(_FOREIGN + 1, np.int32)  # node after one character, 0 for none
         for (a, c), node in trie.items():
             if a == 0:
                 self.first[c] = node
+        inner = sorted({ch for i in used if len(pieces[i]) > 1 for ch in pieces[i]})
+        self.kind = np.zeros(_FOREIGN + 1, np.int32)  # 0: in no piece of two characters or more
+        self.kind[[ord(ch) for ch in inner]] = np.arange(1, len(inner) + 1)
+        self.touch = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for i in used:
+            k = self.kind[[ord(ch) for ch in pieces[i]]]
+            self.touch[k[:-1], k[1:]] = True
+        self.touch[0] = self.touch[:, 0] = False
+        self.touch = self.touch.ravel()
+        self.kinds = len(inner) + 1
         self.bytes_of = [p.replace("▁", " ").encode() if p else b"" for p in pieces]
         for b, i in enumerate(byte_ids):
             self.bytes_of[i] = bytes([b])
+        self.byte_size = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.byte_start = np.cumsum(self.byte_size) - self.byte_size
+        self.byte_flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def _filter(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward pass over units laid end to end. Slots: size + 1 for each unit. Returns each
@@ -152,6 +164,27 @@ class Lattice:
             weight[s, n:] = 2
         return off, weight, arc
 
+    def _filtered(self, h: np.ndarray, c: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The forward pass for units with hashes h. Units of the first batches, the most frequent
+        ones among them, are remembered up to CACHE_SLOTS slots; what is found doesn't differ."""
+        known, known_off, cum, arc = self.cache
+        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+        hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+        off = np.zeros(len(h), np.int64)
+        off[hit] = known_off[at[hit]]
+        if (new := ~hit).any():
+            b, n = begin[new], size[new]
+            pick = np.repeat(b - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own, more_cum, more_arc = self._filter(c[pick], n)
+            off[new] = len(cum) + own
+            full = len(cum) + len(more_cum) > CACHE_SLOTS
+            cum, arc = np.concatenate([cum, more_cum]), np.concatenate([arc, more_arc])
+            if not full:
+                both = np.concatenate([known, h[new]])
+                order = np.argsort(both)
+                self.cache = (both[order], np.concatenate([known_off, off[new]])[order], cum, arc)
+        return off, cum, arc
+
     def _sample(self, keys: np.ndarray, texts: list[np.ndarray]) -> list[np.ndarray]:
         """Piece ids of each text (arrays of code points), keyed by uint64."""
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -159,16 +192,14 @@ class Lattice:
         c = np.where(c == 0x2581, _FOREIGN, np.where(c == 32, 0x2581, c))
         start = np.zeros(len(c), bool)
         start[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        space, line = c == 0x2581, c == 10
-        start[1:] |= (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        kind = self.kind[c]
+        start[1:] |= ~self.touch[kind[:-1] * self.kinds + kind[1:]]
         begin = np.flatnonzero(start)
         size = np.diff(np.append(begin, len(c)))
         doc = np.repeat(np.arange(len(texts)), lengths)[begin]
         h = self._unit_hash(c, begin, size)
-        _, at, unit = np.unique(h, return_index=True, return_inverse=True)
-        u_begin, u_size = begin[at], size[at]
-        pick = np.repeat(u_begin - (np.cumsum(u_size) - u_size), u_size) + np.arange(u_size.sum())
-        off, cum, arc = self._filter(c[pick], u_size)
+        distinct, at, unit = np.unique(h, return_index=True, return_inverse=True)
+        off, cum, arc = self._filtered(distinct, c, begin[at], size[at])
 
         first_unit = np.searchsorted(doc, np.arange(len(texts)))
         nth = np.arange(len(begin)) - first_unit[doc]
@@ -247,6 +278,22 @@ class Lattice:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """Decoded strings of a whole column."""
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        size = np.diff(lists.offsets.to_numpy())
+        if lists.null_count:
+            size = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, size)
+        n = self.byte_size[flat]
+        ends = np.cumsum(n)
+        at = np.repeat(self.byte_start[flat] - (ends - n), n) + np.arange(int(n.sum()))
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(size)])]
+        data = pa.py_buffer(self.byte_flat[at].tobytes())
+        out = pa.Array.from_buffers(pa.large_string(), len(lists), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), data])
+        out.validate(full=True)
+        out = out.cast(pa.string())
+        return pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), out) if lists.null_count else out
+
 
 _lattices: dict[str, Lattice] = {}
 
@@ -270,6 +317,7 @@ class PieceCodec:
     builds the lattice once."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, sharpness: float = SHARPNESS) -> None:
+        small_batches(spark)
         vocabulary = load_vocabulary(path or default_model_path())
         shared = spark.sparkContext.broadcast((*vocabulary, sharpness))
         name = f"{path}|{sharpness}"
@@ -285,7 +333,7 @@ class PieceCodec:
         def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             lattice = _lattice(shared, name)
             for ids in parts:
-                yield pa.array([None if x is None else lattice.decode(x) for x in ids.to_pylist()], pa.string())
+                yield lattice.decode_lists(ids)
 
         self._encode, self._decode = encode, decode
 
