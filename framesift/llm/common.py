@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(df: DataFrame | None, spark: SparkSession) -> None:
+    """Delete a table written by cut() that is no longer read, and let Spark's cleaner drop the
+    shuffle files behind it: it does so when the driver collects its garbage."""
+    if df is not None:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            drop_path(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32(doc_id as text) mod `mod`; null for a null id."""
     return F.crc32(doc_id.cast("string")) % F.lit(mod)

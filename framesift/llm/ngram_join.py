@@ -3,14 +3,13 @@
 A document's set holds the hashes of its distinct 5-word shingles. Under any global order of
 tokens, two sets of Jaccard similarity t or more share a token within their prefixes, the
 first |A| - ceil(t |A|) + 1 tokens. Three orders are used. The first puts frequent tokens last
-and is indexed: prefix postings meet by token, with size and positional filters. Pairs that
-also share a prefix token under the second and third order are verified on the full sets.
+and is indexed: prefix postings meet by token, with filters on sizes, positions and the number of common
+prefix tokens. Pairs that also share a prefix token under the second and third order are verified on the full sets.
 
 Copies and large groups cost no quadratic work: equal sets are one node; a first round links
 every posting only to the least node of its token, and after it tokens whose nodes lie in one
-component are done. The second round pairs the remaining nodes across components only. A pair
-is left out only if a filter excludes it or its ends are connected already, so components are
-exact.
+component are done. The second round pairs the remaining nodes across components only. In it a pair is
+left out only if a filter proves it unlinked, so components are exact.
 
 Frequent tokens are counted over the whole corpus (for the half of the hash space that
 prefixes mostly draw from; the order is a total order whatever is counted). What is broadcast
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix64, small_batches, table, utf8, word_hashes
+from .common import U, cut, mix64, release, small_batches, table, utf8, word_hashes
 from .components import connected_components
 
 N = 5
@@ -92,7 +91,7 @@ def _by_range(tokens: np.ndarray, shift: int, columns: list[np.ndarray]) -> Iter
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node for every document, written to scratch."""
+    """doc_id, text_hash, n, node for every document, written to scratch."""
 
     @F.pandas_udf("n long, node long")
     def measure(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -100,8 +99,9 @@ def set_table(docs: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in texts]
             yield pd.DataFrame({"n": [len(s) for s in sets], "node": [set_hash(s) for s in sets]})
 
-    got = docs.select("doc_id", measure(F.col("text").cast("string")).alias("m"))
-    return cut(got.select("doc_id", "m.n", "m.node"), "sets")
+    text = F.col("text").cast("string")
+    got = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), measure(text).alias("m"))
+    return cut(got.select("doc_id", "text_hash", "m.n", "m.node"), "sets")
 
 
 def frequent_tokens(docs: DataFrame, total: int) -> np.ndarray:
@@ -209,23 +209,33 @@ def postings(docs: DataFrame, hot: np.ndarray, total: int) -> DataFrame:
     return cut(packed.groupBy("r").applyInArrow(meet, "token long, node long, n int, pos int"), "postings")
 
 
-def _possible(a: str, b: str):
-    """Size and positional filter for a pair whose first common token stands at these positions."""
-    total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    room = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-    sizes = DEN * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= NUM * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return sizes & ((NUM + DEN) * room >= NUM * total)
-
-
-def _pairs(a: str, b: str):
-    return [F.least(F.col(f"{a}.node"), F.col(f"{b}.node")).alias("u"), F.greatest(F.col(f"{a}.node"), F.col(f"{b}.node")).alias("v")]
+def _candidates(met: DataFrame) -> DataFrame:
+    """Distinct pairs u < v of the postings joined as a and b, by three filters that no linked
+    pair fails: sizes; a first common token early enough in both; and, as all common tokens up
+    to the end of the shorter-reaching prefix lie in both prefixes, enough common ones."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    met = met.filter(DEN * F.least(na, nb) >= NUM * F.greatest(na, nb))
+    room = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))
+    met = met.select(
+        F.least(F.col("a.node"), F.col("b.node")).alias("u"),
+        F.greatest(F.col("a.node"), F.col("b.node")).alias("v"),
+        (na + nb).alias("total"),
+        F.greatest(na, nb).alias("most"),
+        room.alias("room"),
+    )
+    pairs = met.groupBy("u", "v").agg(
+        F.count(F.lit(1)).alias("shared"), F.max("room").alias("room"), F.first("total").alias("total"), F.first("most").alias("most")
+    )
+    needed = F.ceil(NUM * F.col("total") / F.lit(NUM + DEN))  # the least possible intersection
+    enough = F.col("shared") >= needed - F.ceil(NUM * F.col("most") / F.lit(DEN)) + 1
+    return pairs.filter((F.col("room") >= needed) & enough).select("u", "v")
 
 
 def leader_pairs(post: DataFrame) -> DataFrame:
     """Every posting with the least node of its token."""
     lead = cut(post.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("l")), "leaders").select("token", "l.*")
     met = post.alias("a").join(lead.alias("b"), "token").filter(F.col("a.node") != F.col("b.node"))
-    return cut(met.filter(_possible("a", "b")).select(*_pairs("a", "b")).distinct(), "leader-pairs")
+    return cut(_candidates(met), "leader-pairs")
 
 
 def crossing_pairs(post: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
@@ -235,22 +245,30 @@ def crossing_pairs(post: DataFrame, comps: DataFrame, tried: DataFrame) -> DataF
     mixed = post.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
     post = cut(post.join(cut(mixed, "mixed"), "token"), "mixed-postings")
     met = post.alias("a").join(post.alias("b"), "token").filter(F.col("a.comp") < F.col("b.comp"))
-    return cut(met.filter(_possible("a", "b")).select(*_pairs("a", "b")).distinct().join(tried, ["u", "v"], "left_anti"), "crossing")
+    return cut(_candidates(met).join(tried, ["u", "v"], "left_anti"), "crossing")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, s (the set), p2, p3 (prefixes under the other orders) of the given nodes. A bounded
-    Bloom filter keeps other documents on their executors; its false hits are joined away."""
+    Bloom filter over text hashes keeps other documents from being parsed; its false hits are
+    joined away."""
     spark = docs.sparkSession
-    at = F.pmod("node", F.lit(BLOOM_BITS))
-    words = nodes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {BLOOM_BITS}) & 63 as int))")).alias("b"))
+    texts = sets.join(nodes, "node").groupBy("node").agg(F.min("text_hash").alias("h"))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(h, {BLOOM_BITS}) & 63 as int))")
+    words = texts.groupBy(F.shiftright(F.pmod("h", F.lit(BLOOM_BITS)), 6).alias("w")).agg(F.bit_or(bit).alias("b"))
     got = words.toArrow()
     bloom = np.zeros(BLOOM_BITS // 64, np.int64)
     bloom[got["w"].to_numpy()] = got["b"].to_numpy()
     shared = spark.sparkContext.broadcast(bloom)
 
-    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def wanted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = shared.value.view(U)
+        for h in parts:
+            k = h.to_numpy(zero_copy_only=False) % BLOOM_BITS
+            yield pa.array((words[k >> 6] >> (k & 63).astype(U) & U(1)).astype(bool))
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -265,8 +283,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for text in p["text"]:
                 s = shingles(text.as_py())
                 node = set_hash(s)
-                k = node % BLOOM_BITS
-                if not len(s) or node in seen or not int(words[k >> 6]) >> (k & 63) & 1:
+                if not len(s) or node in seen:
                     continue
                 seen.add(node)
                 held.append((node, s.view(np.int64), other_prefix(s, 2), other_prefix(s, 3)))
@@ -277,20 +294,23 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             if held:
                 yield batch(held)
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(read, "node long, s array<long>, p2 array<int>, p3 array<int>")
+    text = F.col("text").cast("string")
+    rows = docs.select(text.alias("text")).filter(wanted(F.xxhash64("text"))).mapInArrow(read, "node long, s array<long>, p2 array<int>, p3 array<int>")
     return cut(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "full-sets")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, measured: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs u, v whose sets pass the other orders' prefix filters and reach the threshold."""
     nodes = cut(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
-    sets = full_sets(docs, nodes)
+    sets = full_sets(docs, measured, nodes)
     a = sets.select(F.col("node").alias("u"), F.col("s").alias("sa"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
     b = sets.select(F.col("node").alias("v"), F.col("s").alias("sb"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
     both = pairs.join(b, "v").join(a, "u").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - F.col("c")
-    return cut(both.withColumn("c", common).filter(DEN * F.col("c") >= NUM * union).select("u", "v"), "links")
+    links = cut(both.withColumn("c", common).filter(DEN * F.col("c") >= NUM * union).select("u", "v"), "links")
+    release(sets, docs.sparkSession)
+    return links
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -300,12 +320,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     if total:
         hot = frequent_tokens(docs, total)
+        release(None, docs.sparkSession)
         post = postings(docs, hot, total)
+        release(None, docs.sparkSession)
         tried = leader_pairs(post)
-        links = verified(docs, tried)
+        links = verified(docs, sets, tried)
         fresh = crossing_pairs(post, connected_components(links), tried)
+        release(post, docs.sparkSession)
         if not fresh.isEmpty():
-            links = links.unionByName(verified(docs, fresh))
+            links = links.unionByName(verified(docs, sets, fresh))
         comps = cut(connected_components(links), "components")
     else:
         comps = sets.limit(0).select("node", F.col("node").alias("comp"))
