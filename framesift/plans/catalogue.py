@@ -1,10 +1,603 @@
-"""Registry of the engine's named queries and their DuckDB twins."""
+"""Named queries over the driver's tables, each with its DuckDB twin.
+
+Thresholds are lowered where the test vectors' similarities (0.6 at most) would leave the
+production defaults without effect; penalty 0.4 keeps 6-digit rounding free of ties.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions import vectors as V
+from ..operators import evaluation, knn, scoring, selection, synthetic, timeline
+from ..sources import index_store, media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+NEAR, FLOOR, MARGIN = 0.30, 0.20, 0.05
+FPS = 1.0
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+_V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings)"
+_KNN = f"""{_V}, s AS (
+  SELECT a.id AS query_id, b.id AS image_id, round(list_inner_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.id <> b.id
+), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank FROM s QUALIFY rank <= 10)"""
+
+# ------------------------------------------------------------------ vectors
+
+
+@query("knn_top10", f"WITH {_KNN} SELECT query_id, image_id, score, rank::INTEGER AS rank FROM k")
+def knn_top10(spark: SparkSession, d: str) -> DataFrame:
+    v = _index(spark, d)
+    return knn.top_k(v, v, 10, exclude_self=True)
+
+
+@query("knn_report", f"WITH {_KNN} SELECT query_id, rank::INTEGER AS rank, image_id, score FROM k WHERE rank <= 3")
+def knn_report(spark: SparkSession, d: str) -> DataFrame:
+    nested = knn.nested_report(knn_top10(spark, d).filter("rank <= 3"))
+    return nested.select("query_id", F.inline("matches")).select("query_id", "rank", "image_id", "score")
+
+
+@query(
+    "vector_validity",
+    f"""WITH {_V}, n AS (SELECT id, label, len(e) AS d, sqrt(list_inner_product(e, e)) AS norm, e FROM v)
+    SELECT label, count(*) AS n, count(*) FILTER (d = 64 AND (norm = 0 OR abs(norm - 1) <= 2e-5)) AS valid,
+      count(*) FILTER (norm = 0) AS zero_index, count(*) FILTER (norm < 1e-6) AS zero_evaluation,
+      count(*) FILTER (len(list_filter(e, lambda x: x <> 0)) = 0) AS zero_query FROM n GROUP BY label""",
+)
+def vector_validity(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("embedding")
+    return _index(spark, d).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(V.is_valid(v, 64)).alias("valid"),
+        F.count_if(V.zero_at_index(v)).alias("zero_index"),
+        F.count_if(V.zero_at_evaluation(v)).alias("zero_evaluation"),
+        F.count_if(V.zero_at_query(v)).alias("zero_query"),
+    )
+
+
+@query(
+    "ranking_metrics",
+    f"""WITH {_KNN}, h AS (
+      SELECT query_id, sum((a.label = b.label)::INT) / 10.0::DOUBLE AS p, max(CASE WHEN rank = 1 THEN (a.label = b.label)::INT END) AS t
+      FROM k JOIN v a ON a.id = query_id JOIN v b ON b.id = image_id GROUP BY query_id
+    ), e AS (SELECT id, (count(*) OVER (PARTITION BY label) - 1) / (count(*) OVER () - 1) AS r FROM v)
+    SELECT count(*) AS n, round(avg(p), 6) AS precision_at_10, round(avg(t), 6) AS top1_accuracy, round(avg(r), 6) AS random_expected
+    FROM h JOIN e ON e.id = query_id""",
+)
+def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
+    rows = evaluation.ranking_rows(knn_top10(spark, d), _index(spark, d).select("id", "label"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg("precision_at_10"), 6).alias("precision_at_10"),
+        F.round(F.avg("top1"), 6).alias("top1_accuracy"),
+        F.round(F.avg("random_expected"), 6).alias("random_expected"),
+    )
+
+
+@query(
+    "preference_metrics",
+    f"""WITH {_V}, m AS (
+      SELECT q.label % 2 AS change, q.label % 3 AS positive_change,
+        round(list_inner_product(q.e, p.e), 6) - round(list_inner_product(q.e, n.e), 6) AS margin
+      FROM v q JOIN v p ON p.id = q.id + 7 JOIN v n ON n.id = q.id + 11)
+    SELECT change, positive_change, count(*) AS n, count(*) FILTER (margin > 1e-6) AS wins, count(*) FILTER (margin < -1e-6) AS losses,
+      count(*) FILTER (abs(margin) <= 1e-6) AS ties, round(count(*) FILTER (margin > 1e-6) / count(*), 6) AS accuracy,
+      round(count(*) FILTER (abs(margin) <= 1e-6) / count(*), 6) AS tie_rate
+    FROM m GROUP BY GROUPING SETS ((), (change), (positive_change))""",
+)
+def preference_metrics(spark: SparkSession, d: str) -> DataFrame:
+    v = _index(spark, d)
+
+    def of(name: str, shift: int) -> DataFrame:
+        return v.select((F.col("id") - shift).alias("id"), F.col("embedding").alias(name))
+
+    met = v.join(of("p", 7), "id").join(of("n", 11), "id")
+    margin = F.round(V.dot(F.col("embedding"), F.col("p")), 6) - F.round(V.dot(F.col("embedding"), F.col("n")), 6)
+    rows = met.select((F.col("label") % 2).alias("change"), (F.col("label") % 3).alias("positive_change"), margin.alias("margin"))
+    out = evaluation.preference_metrics(rows, ["change"], ["positive_change"]).drop("grouping")
+    return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "tie_rate")})
+
+
+@query(
+    "pairwise_similarity",
+    f"""WITH {_V}, s AS (SELECT round(list_inner_product(a.e, b.e), 6) AS s FROM v a JOIN v b ON a.id < b.id)
+    SELECT count(*) AS pairs, count(*) FILTER (s >= 0.2) AS over_20, count(*) FILTER (s >= 0.3) AS over_30, count(*) FILTER (s >= 0.4) AS over_40, max(s) AS highest FROM s""",
+)
+def pairwise_similarity(spark: SparkSession, d: str) -> DataFrame:
+    v = _index(spark, d).repartition(spark.sparkContext.defaultParallelism)
+    other = v.select(F.col("id").alias("j"), F.col("embedding").alias("w"))
+    s = v.join(other, F.col("id") < F.col("j")).select(F.round(V.dot(F.col("embedding"), F.col("w")), 6).alias("s"))
+    return s.agg(
+        F.count(F.lit(1)).alias("pairs"), *(F.count_if(F.col("s") >= x / 100).alias(f"over_{x}") for x in (20, 30, 40)), F.max("s").alias("highest")
+    )
+
+
+_ANCHORS = "anchors AS (SELECT label AS anchor, arg_min(e, id) AS a, arg_min(id, id) AS aid FROM v GROUP BY label)"
+
+
+def _anchors(v: DataFrame) -> DataFrame:
+    """The first vector of each label (ten rows)."""
+    return v.groupBy(F.col("label").alias("anchor")).agg(F.min_by("embedding", "id").alias("a"))
+
+
+@query(
+    "feedback_assignment",
+    f"""WITH {_V}, {_ANCHORS}, s AS (SELECT id AS row, anchor, round(list_inner_product(e, a), 6) AS s FROM v, anchors),
+    t AS (SELECT *, s >= greatest({FLOOR}, max(s) OVER (PARTITION BY anchor) - {MARGIN}) AS ok FROM s)
+    SELECT row, coalesce(arg_min(anchor, (-s, anchor)) FILTER (ok), -1) AS anchor FROM t GROUP BY row""",
+)
+def feedback_assignment(spark: SparkSession, d: str) -> DataFrame:
+    v = _index(spark, d)
+    met = v.join(F.broadcast(_anchors(v)))  # as many rows as labels
+    s = met.select(F.col("id").alias("row"), "anchor", F.round(V.dot(F.col("embedding"), F.col("a")), 6).alias("similarity"))
+    return scoring.assign_feedback(s, FLOOR, MARGIN)
+
+
+@query(
+    "feedback_score",
+    f"""WITH {_V}, p AS (SELECT arg_min(e, id) AS pos FROM v WHERE label = 1), n AS (SELECT arg_min(e, id) AS neg FROM v WHERE label = 2),
+    m AS (SELECT id, list_inner_product(e, pos) - list_inner_product(e, neg) AS m, list_inner_product(e, pos) AS l FROM v, p, n)
+    SELECT id, round(least(greatest(0.5 + 2 * m + l, 0), 1), 6) AS pair_score, round((1 + l) / 2, 6) AS positive_only FROM m""",
+)
+def feedback_score(spark: SparkSession, d: str) -> DataFrame:
+    v = _index(spark, d)
+    one = v.agg(
+        F.min_by(F.when(F.col("label") == 1, F.col("embedding")), F.when(F.col("label") == 1, F.col("id"))).alias("pos"),
+        F.min_by(F.when(F.col("label") == 2, F.col("embedding")), F.when(F.col("label") == 2, F.col("id"))).alias("neg"),
+    )
+    met = v.join(F.broadcast(one))  # one row
+    pos = V.dot(F.col("embedding"), F.col("pos"))
+    m = pos - V.dot(F.col("embedding"), F.col("neg"))
+    return met.select("id", F.round(scoring.pair_feedback(m, pos), 6).alias("pair_score"), F.round(scoring.positive_feedback(pos), 6).alias("positive_only"))
+
+
+@query(
+    "distinct_references",
+    f"""WITH RECURSIVE {_V}, s AS (
+      SELECT a.id AS query_id, b.id AS image_id, round(list_inner_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.id <> b.id
+    ), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS r FROM s QUALIFY r <= 64),
+    f AS (
+      SELECT query_id, 0::BIGINT AS r, []::BIGINT[] AS kept FROM (SELECT DISTINCT query_id FROM k)
+      UNION ALL
+      SELECT f.query_id, k.r, CASE WHEN len(f.kept) >= 3 OR EXISTS (
+          SELECT 1 FROM v x JOIN v y ON y.id = k.image_id WHERE list_contains(f.kept, x.id) AND list_inner_product(x.e, y.e) >= {NEAR})
+        THEN f.kept ELSE list_append(f.kept, k.image_id) END
+      FROM f JOIN k ON k.query_id = f.query_id AND k.r = f.r + 1
+    ), l AS (SELECT query_id, unnest(kept) AS image_id, generate_subscripts(kept, 1) AS rank FROM f QUALIFY f.r = max(f.r) OVER (PARTITION BY query_id))
+    SELECT l.query_id, l.rank::INTEGER AS rank, l.image_id, k.score FROM l JOIN k USING (query_id, image_id)""",
+)
+def distinct_references(spark: SparkSession, d: str) -> DataFrame:
+    v = _index(spark, d)
+    shortlist = knn.top_k(v, v, 64, exclude_self=True).drop("rank")
+    met = shortlist.join(v.select(F.col("id").alias("image_id"), "embedding"), "image_id")
+    return scoring.distinct_references(met, 3, NEAR)
+
+
+# ------------------------------------------------------------------ timelines
+
+_F = "f AS (SELECT event_id AS n, epoch_us(ts) / 1e6 AS t, value, event_type FROM events)"
+_SHOTS = f"""{_F}, c AS (SELECT *, coalesce(abs(value - lag(value) OVER (ORDER BY n)) >= 150, false) AS cut FROM f),
+  i AS (SELECT *, 1 + sum(cut::INT) OVER (ORDER BY n) AS shot_id FROM c),
+  g AS (SELECT median(t - p) AS gap FROM (SELECT t, lag(t) OVER (ORDER BY n) AS p, row_number() OVER (ORDER BY n DESC) AS r FROM f) WHERE r <= 30),
+  b AS (SELECT shot_id, min(n) AS start_frame, max(n) + 1 AS end_frame, min(t) AS s, max(t) AS m FROM i GROUP BY shot_id),
+  z AS (SELECT *, coalesce(lead(s) OVER (ORDER BY shot_id), m + gap) AS e FROM b, g)"""
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    return _t(spark, d, "events").select(F.lit("events").alias("video_id"), F.col("event_id").alias("frame_number"), ts.alias("ts"), "value")
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("video_id").orderBy("frame_number")
+    frames = timeline.usable_times(_frames(spark, d), FPS).drop("timestamp_source")
+    frames = frames.withColumn("before", F.lag("value").over(w))
+    return timeline.shot_ids(frames, F.abs(F.col("value") - F.col("before")) >= 150).drop("before")
+
+
+@query("shot_boundaries", f"WITH {_SHOTS} SELECT shot_id::BIGINT AS shot_id, start_frame, end_frame, round(s, 6) AS start_seconds, round(e, 6) AS end_seconds FROM z")
+def shot_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    out = timeline.shots(_numbered(spark, d), FPS)
+    return out.select("shot_id", "start_frame", "end_frame", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"))
+
+
+_NEAREST = """r AS (
+    SELECT p.shot_id, i.n AS frame_number, row_number() OVER (PARTITION BY p.shot_id, p.x ORDER BY abs(i.t - p.x), i.n) AS k
+    FROM p JOIN i ON i.shot_id = p.shot_id)
+  SELECT DISTINCT shot_id::BIGINT AS shot_id, frame_number FROM r WHERE k = 1"""
+
+
+@query("shot_midpoint_frames", f"WITH {_SHOTS}, p AS (SELECT shot_id, (s + e) / 2 AS x FROM z), {_NEAREST}")
+def shot_midpoint_frames(spark: SparkSession, d: str) -> DataFrame:
+    n = _numbered(spark, d)
+    return timeline.nearest_frames(n, timeline.targets(timeline.shots(n, FPS))).select("shot_id", "frame_number")
+
+
+@query(
+    "shot_interval_frames",
+    f"""WITH {_SHOTS}, y AS (SELECT *, greatest(3600.0, (e - s) / greatest(1, end_frame - start_frame)) AS sp FROM z),
+    p AS (SELECT shot_id, (s + e) / 2 AS x FROM y UNION ALL
+      SELECT shot_id, s + k * sp FROM (SELECT *, unnest(range(1, greatest(1, ceil((e - s) / sp)::BIGINT))) AS k FROM y)), {_NEAREST}""",
+)
+def shot_interval_frames(spark: SparkSession, d: str) -> DataFrame:
+    n = _numbered(spark, d)
+    return timeline.nearest_frames(n, timeline.targets(timeline.shots(n, FPS), 3600.0)).select("shot_id", "frame_number")
+
+
+@query(
+    "timeline_gap_stats",
+    f"""WITH {_F}, g AS (SELECT t - lag(t) OVER (ORDER BY n) AS g FROM f)
+    SELECT count(g) AS n_gaps, round(min(g), 6) AS min_gap, round(quantile_cont(g, 0.5), 6) AS median_gap, round(quantile_cont(g, 0.95), 6) AS p95_gap,
+      round(max(g), 6) AS max_gap, bool_and(g > 0) AS increasing FROM g WHERE g IS NOT NULL""",
+)
+def timeline_gap_stats(spark: SparkSession, d: str) -> DataFrame:
+    out = timeline.gap_stats(_frames(spark, d)).drop("video_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("min_gap", "median_gap", "p95_gap", "max_gap")})
+
+
+@query("last_frame_duration", f"WITH {_SHOTS} SELECT round(gap, 6) AS gap FROM g")
+def last_frame_duration(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.final_gap(_frames(spark, d), FPS).select(F.round("gap", 6).alias("gap"))
+
+
+@query(
+    "min_scene_cuts",
+    f"""WITH RECURSIVE {_F}, c AS (SELECT n FROM (SELECT n, abs(value - lag(value) OVER (ORDER BY n)) >= 100 AS cut FROM f) WHERE cut),
+    k AS (SELECT min(n) AS n FROM c WHERE n >= 15 UNION ALL SELECT (SELECT min(c.n) FROM c WHERE c.n - k.n >= 15) FROM k WHERE k.n IS NOT NULL)
+    SELECT n AS frame_number FROM k WHERE n IS NOT NULL""",
+)
+def min_scene_cuts(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("video_id").orderBy("frame_number")
+    cuts = _frames(spark, d).withColumn("b", F.lag("value").over(w)).filter("abs(value - b) >= 100")
+    return timeline.enforce_min_gap(cuts, 15).select("frame_number")
+
+
+# ------------------------------------------------------------------ scoring
+
+_SCALE = "CASE WHEN hi - lo < 1e-12 THEN 0.5 ELSE least(greatest(({x} - lo) / (hi - lo), 0), 1) END"
+
+
+@query(
+    "percentile_scale",
+    f"""WITH b AS (SELECT quantile_cont(o_totalprice, 0.1) AS lo, quantile_cont(o_totalprice, 0.9) AS hi FROM orders)
+    SELECT o_orderkey, round({_SCALE.format(x='o_totalprice')}, 6) AS scaled FROM orders, b""",
+)
+def percentile_scale(spark: SparkSession, d: str) -> DataFrame:
+    out = S.scale_percentile(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "scaled")
+    return out.select("o_orderkey", F.round("scaled", 6).alias("scaled"))
+
+
+_PART = """r AS (SELECT p_partkey, (p_partkey * 37 % 101) / 100.0 AS rel, p_retailprice AS sharp, (p_size % 10) / 20.0 AS dark, (p_size % 7) / 20.0 AS bright,
+    ((p_partkey * 13 % 201) - 100) / 100.0 AS lay, (p_partkey * 7 % 11) / 10.0 AS feedback FROM part)"""
+
+
+@query(
+    "weighted_score",
+    f"""WITH {_PART}, b AS (SELECT quantile_cont(ln(1 + sharp), 0.1) AS lo, quantile_cont(ln(1 + sharp), 0.9) AS hi FROM r),
+    c AS (SELECT p_partkey, least(greatest((rel - 0.65) / 0.35, 0), 1) AS relevance,
+      0.7 * ({_SCALE.format(x='ln(1 + sharp)')}) + 0.3 * greatest(0, 1 - dark - bright) AS quality, (1 + lay) / 2 AS reference_layout, feedback, rel >= 0.65 AS eligible FROM r, b)
+    SELECT p_partkey, round(relevance, 6) AS relevance, round(quality, 6) AS quality, round(reference_layout, 6) AS reference_layout, eligible,
+      round(0.35 * relevance + 0.20 * quality + 0.20 * reference_layout + 0.25 * feedback, 6) AS score FROM c""",
+)
+def weighted_score(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    raw = _t(spark, d, "part").select(
+        k,
+        ((k * 37 % 101) / 100.0).alias("relevance_raw"),
+        F.col("p_retailprice").alias("sharpness"),
+        ((F.col("p_size") % 10) / 20.0).alias("dark_fraction"),
+        ((F.col("p_size") % 7) / 20.0).alias("bright_fraction"),
+        (((k * 13 % 201) - 100) / 100.0).alias("layout_raw"),
+        ((k * 7 % 11) / 10.0).alias("feedback"),
+    )
+    out = scoring.components(raw).withColumn("score", scoring.weighted_score())
+    return out.select("p_partkey", *(F.round(c, 6).alias(c) for c in ("relevance", "quality", "reference_layout", "score")), "eligible")
+
+
+# ------------------------------------------------------------------ selection
+
+_PENALTY = 0.4
+_CAND = f"""{_V}, cand AS (SELECT id, round((id * 37 % 101) / 100.0, 6)::DOUBLE AS base, label FROM v WHERE label <> 0),
+  sims AS (SELECT a.id AS i, b.id AS j, round(list_inner_product(a.e, b.e), 6) AS s FROM v a JOIN v b ON true)"""
+
+
+def _greedy(start: str, count: int) -> str:
+    return f"""sel AS (
+      {start}
+      UNION ALL
+      SELECT step + 1, list_append(first(kept), first(id ORDER BY u DESC, id)) FROM (
+        SELECT g.step, g.kept, c.id, round(c.base - round({_PENALTY} * coalesce(max(m.s), 0), 6), 6) AS u, max(m.s) AS s
+        FROM sel g JOIN cand c ON NOT list_contains(g.kept, c.id) LEFT JOIN sims m ON m.i = c.id AND list_contains(g.kept, m.j)
+        WHERE len(g.kept) < {count} GROUP BY g.step, g.kept, c.id, c.base)
+      WHERE s IS NULL OR s < {NEAR} GROUP BY step)"""
+
+
+_START = "SELECT 0 AS step, []::BIGINT[] AS kept"
+_FINAL = "fin AS (SELECT kept FROM sel ORDER BY len(kept) DESC LIMIT 1), won AS (SELECT unnest(kept) AS id, generate_subscripts(kept, 1) AS step FROM fin)"
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    v = _index(spark, d)
+    return v.select(
+        F.lit("v").alias("video_id"), F.col("id").alias("frame_number"), ((F.col("id") * 37 % 101) / 100.0).alias("score"), (F.col("label") != 0).alias("eligible"), "embedding", "label"
+    )
+
+
+def _trace(spark: SparkSession, d: str) -> DataFrame:
+    return selection.select_frames(_candidates(spark, d).drop("label"), 17, _PENALTY, NEAR)
+
+
+@query("greedy_select17", f"WITH RECURSIVE {_CAND}, {_greedy(_START, 17)}, {_FINAL} SELECT step::INTEGER AS step, id AS frame_number FROM won")
+def greedy_select17(spark: SparkSession, d: str) -> DataFrame:
+    return _trace(spark, d).select("step", F.col("winner").alias("frame_number"))
+
+
+_POOL = f"""pool AS (
+    SELECT g.step + 1 AS step, c.id, round(c.base - round({_PENALTY} * coalesce(max(m.s), 0), 6), 6) AS u, max(m.s) AS s, c.base
+    FROM sel g JOIN cand c ON NOT list_contains(g.kept, c.id) LEFT JOIN sims m ON m.i = c.id AND list_contains(g.kept, m.j)
+    WHERE len(g.kept) < 17 GROUP BY g.step, g.kept, c.id, c.base),
+  live AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY u DESC, id) AS k, count(*) OVER (PARTITION BY step) AS n FROM pool WHERE s IS NULL OR s < {NEAR}),
+  two AS (SELECT a.step, a.id AS winner, a.u AS wu, b.id AS runner_up, round(a.u - b.u, 6) AS margin, a.n FROM live a LEFT JOIN live b ON b.step = a.step AND b.k = 2 WHERE a.k = 1)"""
+
+
+@query(
+    "greedy_trace",
+    f"""WITH RECURSIVE {_CAND}, {_greedy(_START, 17)}, {_POOL}
+    SELECT step::INTEGER AS step, winner, wu AS winner_utility, runner_up, margin AS utility_margin, n::INTEGER AS eligible_competitors FROM two""",
+)
+def greedy_trace(spark: SparkSession, d: str) -> DataFrame:
+    return _trace(spark, d).select("step", "winner", "winner_utility", "runner_up", "utility_margin", "eligible_competitors")
+
+
+@query(
+    "audit_csv_rows",
+    f"""WITH RECURSIVE {_CAND}, {_greedy(_START, 17)}, {_POOL}
+    SELECT step::INTEGER AS step, id AS frame_number, base AS base_score, s AS max_similarity, u AS utility,
+      CASE WHEN s >= {NEAR} THEN 'duplicate_blocked' ELSE 'considered' END AS status FROM pool WHERE step IN (SELECT step FROM two)""",
+)
+def audit_csv_rows(spark: SparkSession, d: str) -> DataFrame:
+    return selection.audit_rows(_trace(spark, d)).select("step", "frame_number", "base_score", "max_similarity", "utility", "status")
+
+
+@query(
+    "explain_steps",
+    f"""WITH RECURSIVE {_CAND}, {_greedy(_START, 17)}, {_POOL}
+    SELECT step::INTEGER AS step, printf('Step %d took frame %d for diversity with utility %.6f', step, winner, wu) ||
+      CASE WHEN runner_up IS NULL THEN '; nothing else could be taken.' WHEN margin = 0 THEN printf('; frame %d tied and has the higher number.', runner_up)
+      ELSE printf('; frame %d was next, %.6f behind.', runner_up, margin) END AS sentence FROM two""",
+)
+def explain_steps(spark: SparkSession, d: str) -> DataFrame:
+    return selection.explain(_trace(spark, d)).select("step", "sentence")
+
+
+@query(
+    "selection_dispositions",
+    f"""WITH RECURSIVE {_CAND}, {_greedy(_START, 17)}, {_FINAL},
+    near AS (SELECT i, j, s FROM sims JOIN won ON won.id = j QUALIFY row_number() OVER (PARTITION BY i ORDER BY s DESC, j) = 1)
+    SELECT v.id AS frame_number, CASE WHEN won.id IS NOT NULL THEN 'selected' WHEN label = 0 THEN 'below_relevance_threshold'
+      WHEN near.s >= {NEAR} THEN 'redundant_in_final_set' ELSE 'outside_top_k_budget' END AS status, won.step::INTEGER AS step,
+      CASE WHEN won.id IS NULL AND label <> 0 AND near.s >= {NEAR} THEN near.j END AS selected_frame,
+      CASE WHEN won.id IS NULL AND label <> 0 AND near.s >= {NEAR} THEN near.s END AS similarity
+    FROM v LEFT JOIN won ON won.id = v.id LEFT JOIN near ON near.i = v.id""",
+)
+def selection_dispositions(spark: SparkSession, d: str) -> DataFrame:
+    return selection.dispositions(_candidates(spark, d).drop("label"), 17, _PENALTY, NEAR).drop("video_id")
+
+
+@query(
+    "nearest_selected",
+    f"""WITH RECURSIVE {_CAND}, {_greedy(_START, 17)}, {_FINAL}
+    SELECT i AS frame_number, j AS nearest, s AS similarity FROM sims JOIN won ON won.id = j QUALIFY row_number() OVER (PARTITION BY i ORDER BY s DESC, step) = 1""",
+)
+def nearest_selected(spark: SparkSession, d: str) -> DataFrame:
+    won = greedy_select17(spark, d).select(F.col("frame_number").alias("j"), "step")
+    v = _index(spark, d)
+    other = F.broadcast(won.join(v.select(F.col("id").alias("j"), F.col("embedding").alias("w")), "j").drop("step"))  # 17 rows
+    s = v.join(other).select(F.col("id").alias("i"), "j", F.round(V.dot(F.col("embedding"), F.col("w")), 6).alias("similarity"))
+    return scoring.nearest_selected(s, won).select(F.col("i").alias("frame_number"), F.col("j").alias("nearest"), "similarity")
+
+
+_SEEDS = "SELECT 0 AS step, list(id ORDER BY label) AS kept FROM (SELECT label, first(id ORDER BY base DESC, id) AS id FROM cand WHERE label IN (3, 4, 5) GROUP BY label)"
+
+
+@query("seeded_select", f"WITH RECURSIVE {_CAND}, {_greedy(_SEEDS, 10)}, {_FINAL} SELECT step::INTEGER AS step, id AS frame_number, CASE WHEN step <= 3 THEN 'feedback' ELSE 'diversity' END AS phase FROM won")
+def seeded_select(spark: SparkSession, d: str) -> DataFrame:
+    c = _candidates(spark, d).withColumn("seed_group", F.when(F.col("label").isin(3, 4, 5), F.col("label").cast("string"))).drop("label")
+    return selection.select_frames(c, 10, _PENALTY, NEAR).select("step", F.col("winner").alias("frame_number"), "phase")
+
+
+# ------------------------------------------------------------------ index lifecycle and integrity
+
+_INV = "SELECT 'docs/' || source || '/' || doc_id || '.jpg' AS relative_path, n_chars AS size_bytes, doc_id * 1000 AS mtime_ns, doc_id FROM documents"
+
+
+def _inventory(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jpg"))
+    return _t(spark, d, "documents").select(path.alias("relative_path"), F.col("n_chars").alias("size_bytes"), (F.col("doc_id") * 1000).alias("mtime_ns"), "doc_id")
+
+
+def _checkpoint(spark: SparkSession, d: str, inv: DataFrame) -> DataFrame:
+    """The labelled documents are committed; those of quality 0 with another size."""
+    labels = _t(spark, d, "labels").select("doc_id", "quality")
+    return inv.join(labels, "doc_id").withColumn("size_bytes", F.col("size_bytes") + 1 - F.col("quality")).drop("quality")
+
+
+@query("resume_antijoin", f"WITH i AS ({_INV}) SELECT relative_path, size_bytes, mtime_ns FROM i WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    inv = _inventory(spark, d)
+    return index_store.pending(inv, _checkpoint(spark, d, inv)).select("relative_path", "size_bytes", "mtime_ns")
+
+
+@query("stale_inventory", f"WITH i AS ({_INV}) SELECT relative_path, size_bytes, mtime_ns FROM i WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def stale_inventory(spark: SparkSession, d: str) -> DataFrame:
+    inv = _inventory(spark, d)
+    return index_store.stale(inv.drop("doc_id"), _checkpoint(spark, d, inv).drop("doc_id"))
+
+
+@query(
+    "inventory_fingerprint",
+    f"""WITH i AS ({_INV}), h AS (SELECT relative_path, sha256('{{"relative_path":"' || relative_path || '","size_bytes":' || size_bytes || ',"mtime_ns":' || mtime_ns || '}}') AS h FROM i)
+    SELECT sha256(string_agg(h, '' ORDER BY relative_path)) AS fingerprint FROM h""",
+)
+def inventory_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(index_store.fingerprint(_inventory(spark, d).drop("doc_id")),)], "fingerprint string")
+
+
+@query("content_hashes", "SELECT doc_id, sha256(text) AS sha256, ('0x' || substr(sha256(text), 1, 16))::UBIGINT::VARCHAR AS seed FROM documents")
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), S.seed64(F.col("text")).cast("string").alias("seed"))
+
+
+@query(
+    "collection_summary",
+    "SELECT count(*) AS candidates, count(l.doc_id) AS usable, count(*) - count(l.doc_id) AS invalid, sum(n_chars)::BIGINT AS bytes FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+)
+def collection_summary(spark: SparkSession, d: str) -> DataFrame:
+    known = _t(spark, d, "labels").select("doc_id", F.lit(True).alias("ok"))
+    rows = _t(spark, d, "documents").join(known, "doc_id", "left")
+    return media.summary(rows.select(F.col("n_chars").alias("size_bytes"), F.when(F.col("ok").isNull(), "unlabelled").alias("error")))
+
+
+@query(
+    "extension_histogram",
+    r"SELECT lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+(\.[^.]+)$', 1)) AS extension, count(*) AS n FROM pages GROUP BY 1",
+)
+def extension_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return media.extension_histogram(_t(spark, d, "pages"), "url")
+
+
+@query("tagged_errors", "SELECT doc_id, CASE WHEN n_chars < 500 THEN 'too short' END AS error, CASE WHEN n_chars >= 500 THEN row_number() OVER (PARTITION BY n_chars >= 500 ORDER BY doc_id) - 1 END AS id FROM documents")
+def tagged_errors(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "documents").withColumn("error", F.when(F.col("n_chars") < 500, "too short"))
+    good = rows.filter("error is null").withColumn("id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long"))
+    return good.select("doc_id", "error", "id").unionByName(rows.filter("error is not null").select("doc_id", "error", F.lit(None).cast("long").alias("id")))
+
+
+@query(
+    "split_leakage",
+    "SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) INTERSECT SELECT text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+)
+def split_leakage(spark: SparkSession, d: str) -> DataFrame:
+    """Texts on both sides of the split into labelled and other documents."""
+    t, known = _t(spark, d, "documents"), _t(spark, d, "labels").select("doc_id")
+    return t.join(known, "doc_id", "left_semi").select("text").intersect(t.join(known, "doc_id", "left_anti").select("text"))
+
+
+@query("exact_duplicate_groups", "SELECT min(doc_id) AS first, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("h")
+
+
+@query("manifest_difference", "SELECT doc_id, (l.doc_id IS NOT NULL) AS in_labels, (d.doc_id IS NOT NULL) AS in_documents FROM documents d FULL JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL".replace("SELECT doc_id, (l.doc_id IS NOT NULL)", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, (l.doc_id IS NOT NULL)"))
+def manifest_difference(spark: SparkSession, d: str) -> DataFrame:
+    a = _t(spark, d, "documents").select("doc_id", F.lit(True).alias("a"))
+    b = _t(spark, d, "labels").select("doc_id", F.lit(True).alias("b"))
+    met = a.join(b, "doc_id", "full").filter("a is null or b is null")
+    return met.select("doc_id", F.col("b").isNotNull().alias("in_labels"), F.col("a").isNotNull().alias("in_documents"))
+
+
+@query("batch_numbers", "SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 16)::BIGINT AS batch FROM documents")
+def batch_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return media.batch_numbers(_t(spark, d, "documents").select("doc_id"), "doc_id", 16)
+
+
+_GEN = """d AS (SELECT s, f, v, u, a, s || '-' || lpad(f::VARCHAR, 2, '0') AS family_id FROM (VALUES ('dev'), ('test')) x(s), range(12) y(f),
+  (VALUES ('base'), ('position'), ('scale'), ('background')) z(v), (VALUES ('rectangle', 0), ('ellipse', 1), ('triangle', 2)) w(u, ui),
+  (VALUES ('warm', 0), ('cool', 1), ('dark', 2), ('textured', 3)) q(a, ai))"""
+
+
+@query("synthetic_labels", f"WITH {_GEN} SELECT family_id || '-' || v || '-' || u || '-' || a AS id, s AS split, family_id, family_id || '-' || v AS layout_id, v AS variant, u AS subject, a AS appearance FROM d")
+def synthetic_labels(spark: SparkSession, d: str) -> DataFrame:
+    return synthetic.image_labels(spark)
+
+
+@query(
+    "synthetic_pairs",
+    f"""WITH {_GEN}, nu AS (SELECT * FROM (VALUES ('rectangle', 'ellipse'), ('ellipse', 'triangle'), ('triangle', 'rectangle')) n(u, nu)),
+    na AS (SELECT * FROM (VALUES ('warm', 'cool'), ('cool', 'dark'), ('dark', 'textured'), ('textured', 'warm')) n(a, na))
+    SELECT s AS split, family_id || '-base-' || u || '-' || a AS query, family_id || '-base-' || nu || '-' || CASE WHEN p = 0 THEN a ELSE na END AS positive,
+      family_id || '-' || change || '-' || u || '-' || a AS negative, change, CASE WHEN p = 0 THEN 'subject' ELSE 'subject+appearance' END AS positive_change
+    FROM d JOIN nu USING (u) JOIN na USING (a), range(2) r(p), (VALUES ('position'), ('scale'), ('background')) c(change) WHERE v = 'base'""",
+)
+def synthetic_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return synthetic.preference_pairs(synthetic.image_labels(spark))
+
+
+@query("label_integrity", "SELECT 'x' AS rule, 0::BIGINT AS n WHERE false")
+def label_integrity(spark: SparkSession, d: str) -> DataFrame:
+    labels = synthetic.image_labels(spark)
+    images = labels.withColumn("path", F.concat_ws("/", "split", "id")).withColumn("geometry", F.col("layout_id"))
+    return evaluation.label_violations(images, synthetic.preference_pairs(labels))
+
+
+# ------------------------------------------------------------------ pixels
+
+_GRIDS = 8
+_W, _H = 24, 20
+_PIXEL = "((x * (3 + k) + y * (7 + 2 * k) + (x * y) % (5 + k)) % 256)"
+
+
+@query(
+    "image_quality_grid",
+    f"""WITH p AS (SELECT k, x, y, {_PIXEL}::DOUBLE AS g FROM range({_GRIDS}) a(k), range({_W}) b(x), range({_H}) c(y)),
+    l AS (SELECT k, g, coalesce(lag(g) OVER h, lead(g) OVER h) + coalesce(lead(g) OVER h, lag(g) OVER h)
+      + coalesce(lag(g) OVER w, lead(g) OVER w) + coalesce(lead(g) OVER w, lag(g) OVER w) - 4 * g AS lap
+      FROM p WINDOW h AS (PARTITION BY k, y ORDER BY x), w AS (PARTITION BY k, x ORDER BY y))
+    SELECT k, round(var_pop(lap), 6) AS sharpness, round(avg((g <= 8)::INT), 6) AS dark_fraction, round(avg((g >= 247)::INT), 6) AS bright_fraction FROM l GROUP BY k""",
+)
+def image_quality_grid(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("id")
+    p = spark.range(_GRIDS * _W * _H).select(F.floor(n / (_W * _H)).alias("k"), (n % _W).alias("x"), (F.floor(n / _W) % _H).alias("y"))
+    p = p.withColumn("g", F.expr(_PIXEL).cast("double"))
+    lap = -4 * F.col("g")
+    for fixed, along in (("y", "x"), ("x", "y")):
+        w = Window.partitionBy("k", fixed).orderBy(along)
+        a, b = F.lag("g").over(w), F.lead("g").over(w)
+        lap = lap + F.coalesce(a, b) + F.coalesce(b, a)
+    return p.withColumn("lap", lap).groupBy("k").agg(
+        F.round(F.var_pop("lap"), 6).alias("sharpness"),
+        F.round(F.avg(F.when(F.col("g") <= 8, 1).otherwise(0)), 6).alias("dark_fraction"),
+        F.round(F.avg(F.when(F.col("g") >= 247, 1).otherwise(0)), 6).alias("bright_fraction"),
+    )
+
+
+@query(
+    "spatial_intensity_grid",
+    f"""WITH p AS (SELECT k, x, y, {_PIXEL} / 255.0::DOUBLE AS g FROM range({_GRIDS}) a(k), range({_W}) b(x), range({_H}) c(y)),
+    s AS (SELECT *, (g - avg(g) OVER (PARTITION BY k)) / stddev_pop(g) OVER (PARTITION BY k) AS z FROM p),
+    c AS (SELECT k, (y * 8 // {_H}) * 8 + x * 8 // {_W} AS cell, avg(z) AS m FROM s GROUP BY ALL)
+    SELECT k, cell, round(m / sqrt(sum(m * m) OVER (PARTITION BY k)) * sqrt(0.5), 4) AS value FROM c""",
+)
+def spatial_intensity_grid(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.descriptor import descriptor_column
+
+    n = F.col("id")
+    p = spark.range(_GRIDS * _W * _H).select(F.floor(n / (_W * _H)).alias("k"), (n % _W).alias("x"), (F.floor(n / _W) % _H).alias("y"))
+    p = p.withColumn("g", F.expr(_PIXEL))
+    one = p.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "g"))), lambda q: F.lpad(F.hex(q["g"]), 2, "0")), "").alias("h"))
+    v = one.select("k", F.slice(descriptor_column(F.unhex("h"), F.lit(_W), F.lit(_H)), 1, 64).alias("v"))
+    return v.select("k", F.posexplode("v").alias("cell", "m")).select("k", F.col("cell").cast("long").alias("cell"), F.round(F.col("m").cast("double"), 4).alias("value"))

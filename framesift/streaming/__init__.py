@@ -1,0 +1,2 @@
+"""The engine's operators are batch; a timeline that grows is handled by committed rounds
+(sources.index_store) over whatever a stream's foreachBatch hands on."""
