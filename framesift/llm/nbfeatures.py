@@ -22,7 +22,7 @@ from .common import U, small_batches, utf8, word_hashes
 BITS = 22
 DIM = 1 << BITS
 PIECE = 1 << 20  # characters worked on at a time, so a very long text needs bounded memory
-TRAIN_DOCS = 8_000  # bound on labelled training documents, smallest hash of doc_id first
+TRAIN_DOCS = 5_000  # bound on labelled training documents, smallest hash of doc_id first
 MIN_DF = 5
 Z_MIN = 4.0
 ALPHA = 1.0

@@ -3,17 +3,19 @@
 A document's set holds the hashes of its distinct 5-word shingles. Under any global order of
 tokens, two sets of Jaccard similarity t or more share a token within their prefixes, the
 first |A| - ceil(t |A|) + 1 tokens. Three orders are used. The first puts frequent tokens last
-and is indexed: prefix postings meet by token, with filters on sizes, positions and the number of common
-prefix tokens. Pairs that also share a prefix token under the second and third order are verified on the full sets.
+and is indexed: prefix postings meet by token, with filters on sizes and positions.
+Pairs that also share enough prefix tokens under the second and third order are verified on
+the full sets.
 
 Copies and large groups cost no quadratic work: equal sets are one node; a first round links
-every posting only to the least node of its token, and after it tokens whose nodes lie in one
-component are done. The second round pairs the remaining nodes across components only. In it a pair is
-left out only if a filter proves it unlinked, so components are exact.
-
-Frequent tokens are counted over the whole corpus (for the half of the hash space that
-prefixes mostly draw from; the order is a total order whatever is counted). What is broadcast
-is bounded: HOT_TOKENS tokens and a BLOOM_BITS filter; shuffled postings travel as packed
+every posting only to one leader of its token, and after it tokens whose nodes lie in one
+component are done. The second round pairs the remaining nodes across components only. In it a
+pair is left out only if a filter proves it unlinked, so components are exact.
+
+Frequent tokens are counted over the whole corpus. In a group of edited copies the shared
+tokens are frequent, so a member's own tokens come first in its prefix, and members too far
+from each other fail the positional filter without being paired. What is broadcast is
+bounded: HOT_TOKENS tokens and a BLOOM_BITS filter; shuffled postings travel as packed
 arrays by token range.
 
 Defined results: null or blank text has an empty set and is its own component; rows that repeat
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U, cut, mix64, release, small_batches, table, utf8, word_hashes
@@ -37,7 +39,7 @@ from .components import connected_components
 
 N = 5
 NUM, DEN = 3, 4  # threshold 0.75
-HOT_TOKENS = 1 << 20  # bound on tokens known as frequent
+HOT_TOKENS = 1 << 22  # bound on tokens known as frequent
 HOT_DF = 32  # least document frequency of one
 BLOOM_BITS = 1 << 24
 FLUSH = 1 << 19  # tokens packed together by a task
@@ -76,9 +78,9 @@ def prefix_size(n: int) -> int:
 
 
 def other_prefix(s: np.ndarray, order: int) -> np.ndarray:
-    """Prefix under another order, as 32-bit digests (equal tokens stay equal)."""
+    """Distinct 32-bit digests of the prefix under another order."""
     k = np.sort(mix64(s ^ U(order * 0x9E3779B97F4A7C15 & (2**64 - 1))))[: prefix_size(len(s))]
-    return mix64(k).view(np.int64).astype(np.int32)
+    return np.unique(mix64(k).view(np.int64).astype(np.int32))
 
 
 def _by_range(tokens: np.ndarray, shift: int, columns: list[np.ndarray]) -> Iterator[tuple]:
@@ -105,11 +107,11 @@ def set_table(docs: DataFrame) -> DataFrame:
 
 
 def frequent_tokens(docs: DataFrame, total: int) -> np.ndarray:
-    """Tokens of the lower half of the hash space in more documents than a floor that keeps
-    their number within HOT_TOKENS; sorted. Counted over all documents."""
-    floor = max(HOT_DF, total // 2 // HOT_TOKENS + 1)
-    bits = max(8, min(20, (total // 2 // RANGE_TOKENS + 1).bit_length()))
-    shift = 63 - bits
+    """Tokens in more documents than a floor that keeps their number within HOT_TOKENS; sorted.
+    Counted over all documents."""
+    floor = max(HOT_DF, total // HOT_TOKENS + 1)
+    bits = max(8, min(20, (total // RANGE_TOKENS + 1).bit_length()))
+    shift = 64 - bits
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -126,7 +128,6 @@ def frequent_tokens(docs: DataFrame, total: int) -> np.ndarray:
         for p in parts:
             for text in p["text"]:
                 s = shingles(text)
-                s = s[: np.searchsorted(s, U(1 << 63))]
                 if len(s):
                     held.append(s)
                     size += len(s)
@@ -209,33 +210,31 @@ def postings(docs: DataFrame, hot: np.ndarray, total: int) -> DataFrame:
     return cut(packed.groupBy("r").applyInArrow(meet, "token long, node long, n int, pos int"), "postings")
 
 
-def _candidates(met: DataFrame) -> DataFrame:
-    """Distinct pairs u < v of the postings joined as a and b, by three filters that no linked
-    pair fails: sizes; a first common token early enough in both; and, as all common tokens up
-    to the end of the shorter-reaching prefix lie in both prefixes, enough common ones."""
+def _least_common(na: Column, nb: Column) -> Column:
+    """The least intersection of two linked sets of these sizes."""
+    return F.ceil(NUM * (na + nb) / F.lit(NUM + DEN))
+
+
+def _met(a: DataFrame, b: DataFrame, also: Column) -> DataFrame:
+    """Distinct pairs u < v whose postings a and b meet at a token: sizes must fit, and the token
+    stand early enough in both prefixes to be the first common one of a linked pair."""
     na, nb = F.col("a.n"), F.col("b.n")
-    met = met.filter(DEN * F.least(na, nb) >= NUM * F.greatest(na, nb))
+    sizes = DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)
     room = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))
-    met = met.select(
-        F.least(F.col("a.node"), F.col("b.node")).alias("u"),
-        F.greatest(F.col("a.node"), F.col("b.node")).alias("v"),
-        (na + nb).alias("total"),
-        F.greatest(na, nb).alias("most"),
-        room.alias("room"),
-    )
-    pairs = met.groupBy("u", "v").agg(
-        F.count(F.lit(1)).alias("shared"), F.max("room").alias("room"), F.first("total").alias("total"), F.first("most").alias("most")
-    )
-    needed = F.ceil(NUM * F.col("total") / F.lit(NUM + DEN))  # the least possible intersection
-    enough = F.col("shared") >= needed - F.ceil(NUM * F.col("most") / F.lit(DEN)) + 1
-    return pairs.filter((F.col("room") >= needed) & enough).select("u", "v")
+    on = (F.col("a.token") == F.col("b.token")) & also & sizes & ((NUM + DEN) * room >= NUM * (na + nb))
+    u, v = F.least(F.col("a.node"), F.col("b.node")), F.greatest(F.col("a.node"), F.col("b.node"))
+    return a.alias("a").join(b.alias("b"), on).select(u.alias("u"), v.alias("v")).distinct()
 
 
 def leader_pairs(post: DataFrame) -> DataFrame:
-    """Every posting with the least node of its token."""
-    lead = cut(post.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("l")), "leaders").select("token", "l.*")
-    met = post.alias("a").join(lead.alias("b"), "token").filter(F.col("a.node") != F.col("b.node"))
-    return cut(_candidates(met), "leader-pairs")
+    """Every posting with its token's leader: the node whose own tokens are the most shared, as
+    the original of a group of edited copies is. Other leaders would cost pairs, not links."""
+    shared = cut(post.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token-df")
+    weight = post.join(shared, "token").groupBy("node", "n").agg(F.sum("df").alias("w"))
+    weight = cut(weight.select("node", (F.col("w") / F.col("n")).alias("w")), "node-weights")
+    rated = cut(post.join(weight, "node"), "rated")
+    lead = cut(rated.groupBy("token").agg(F.max(F.struct("w", "node", "n", "pos")).alias("l")), "leaders").select("token", "l.*")
+    return cut(_met(rated, lead, F.col("a.node") != F.col("b.node")), "leader-pairs")
 
 
 def crossing_pairs(post: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
@@ -244,8 +243,8 @@ def crossing_pairs(post: DataFrame, comps: DataFrame, tried: DataFrame) -> DataF
     post = cut(post, "labelled")
     mixed = post.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
     post = cut(post.join(cut(mixed, "mixed"), "token"), "mixed-postings")
-    met = post.alias("a").join(post.alias("b"), "token").filter(F.col("a.comp") < F.col("b.comp"))
-    return cut(_candidates(met).join(tried, ["u", "v"], "left_anti"), "crossing")
+    met = _met(post, post, F.col("a.comp") < F.col("b.comp"))
+    return cut(met.join(tried, ["u", "v"], "left_anti"), "crossing")
 
 
 def full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -296,18 +295,36 @@ def full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = docs.select(text.alias("text")).filter(wanted(F.xxhash64("text"))).mapInArrow(read, "node long, s array<long>, p2 array<int>, p3 array<int>")
-    return cut(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "full-sets")
+    rows = rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return cut(rows.withColumn("n", F.size("s").cast("long")), "full-sets")
 
 
 def verified(docs: DataFrame, measured: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs u, v whose sets pass the other orders' prefix filters and reach the threshold."""
     nodes = cut(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
     sets = full_sets(docs, measured, nodes)
-    a = sets.select(F.col("node").alias("u"), F.col("s").alias("sa"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-    b = sets.select(F.col("node").alias("v"), F.col("s").alias("sb"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-    both = pairs.join(b, "v").join(a, "u").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - F.col("c")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+
+    light = ("p2", "p3", "n")
+    both = pairs.join(side("v", *light), "v").join(side("u", *light), "u")
+    most = F.ceil(NUM * F.greatest("u_n", "v_n") / F.lit(DEN))
+    bound = _least_common(F.col("u_n"), F.col("v_n")) - most + 1
+
+    def enough(p: str) -> Column:
+        """All common tokens up to the end of the shorter-reaching prefix lie in both prefixes, so
+        a linked pair shares `bound` of them at least; digests that coincide are made up for."""
+        merged = F.lit(0)
+        for x in ("u", "v"):
+            n = F.col(f"{x}_n")
+            merged = merged + n - F.ceil(NUM * n / F.lit(DEN)) + 1 - F.size(f"{x}_{p}")
+        return F.size(F.array_intersect(f"u_{p}", f"v_{p}")) + merged >= bound
+
+    passed = cut(both.filter(enough("p2") & enough("p3")).select("u", "v"), "passed")
+    both = passed.join(side("v", "s"), "v").join(side("u", "s"), "u")
+    common = F.size(F.array_intersect("u_s", "v_s"))
+    union = F.size("u_s") + F.size("v_s") - F.col("c")
     links = cut(both.withColumn("c", common).filter(DEN * F.col("c") >= NUM * union).select("u", "v"), "links")
     release(sets, docs.sparkSession)
     return links
