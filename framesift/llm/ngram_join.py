@@ -40,6 +40,7 @@ from .components import connected_components
 N = 5
 NUM, DEN = 3, 4  # threshold 0.75
 HOT_TOKENS = 1 << 22  # bound on tokens known as frequent
+EARLY = 4  # early common tokens asked for before a pair is looked at
 HOT_DF = 32  # least document frequency of one
 BLOOM_BITS = 1 << 24
 FLUSH = 1 << 19  # tokens packed together by a task
@@ -215,15 +216,25 @@ def _least_common(na: Column, nb: Column) -> Column:
     return F.ceil(NUM * (na + nb) / F.lit(NUM + DEN))
 
 
+def _must_share(na: Column, nb: Column) -> Column:
+    """Common prefix tokens of a linked pair: all common tokens up to the end of the
+    shorter-reaching prefix lie in both prefixes."""
+    return _least_common(na, nb) - F.ceil(NUM * F.greatest(na, nb) / F.lit(DEN)) + 1
+
+
 def _met(a: DataFrame, b: DataFrame, also: Column) -> DataFrame:
-    """Distinct pairs u < v whose postings a and b meet at a token: sizes must fit, and the token
-    stand early enough in both prefixes to be the first common one of a linked pair."""
+    """Distinct pairs u < v whose postings a and b meet. Sizes must fit. The k-th common token of a
+    linked pair leaves room for all but k - 1 of its least intersection; so at least EARLY
+    tokens, or all that the prefixes must share if fewer, meet with room for all but EARLY - 1."""
     na, nb = F.col("a.n"), F.col("b.n")
     sizes = DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)
     room = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))
-    on = (F.col("a.token") == F.col("b.token")) & also & sizes & ((NUM + DEN) * room >= NUM * (na + nb))
+    early = (NUM + DEN) * (room + EARLY - 1) >= NUM * (na + nb)
+    met = a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & also & sizes & early)
     u, v = F.least(F.col("a.node"), F.col("b.node")), F.greatest(F.col("a.node"), F.col("b.node"))
-    return a.alias("a").join(b.alias("b"), on).select(u.alias("u"), v.alias("v")).distinct()
+    met = met.select(u.alias("u"), v.alias("v"), _must_share(na, nb).alias("must"))
+    pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first("must").alias("must"))
+    return pairs.filter(F.col("k") >= F.least(F.col("must"), F.lit(EARLY))).select("u", "v")
 
 
 def leader_pairs(post: DataFrame) -> DataFrame:
@@ -309,12 +320,10 @@ def verified(docs: DataFrame, measured: DataFrame, pairs: DataFrame) -> DataFram
 
     light = ("p2", "p3", "n")
     both = pairs.join(side("v", *light), "v").join(side("u", *light), "u")
-    most = F.ceil(NUM * F.greatest("u_n", "v_n") / F.lit(DEN))
-    bound = _least_common(F.col("u_n"), F.col("v_n")) - most + 1
+    bound = _must_share(F.col("u_n"), F.col("v_n"))
 
     def enough(p: str) -> Column:
-        """All common tokens up to the end of the shorter-reaching prefix lie in both prefixes, so
-        a linked pair shares `bound` of them at least; digests that coincide are made up for."""
+        """Whether the prefixes share `bound` tokens; digests that coincide are made up for."""
         merged = F.lit(0)
         for x in ("u", "v"):
             n = F.col(f"{x}_n")
