@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, small_batches, utf8, word_hashes
+from .common import U, small_batches, tidy, utf8, word_hashes
 
 BITS = 22
 DIM = 1 << BITS
@@ -167,5 +167,6 @@ def score_column(docs: DataFrame, model: Model, features: Features) -> Column:
         m = shared.value
         for texts in parts:
             yield pd.Series([m.score(t, features) for t in texts], dtype="float64")
+        tidy()
 
     return score(F.col("text").cast("string"))

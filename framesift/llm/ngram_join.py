@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix64, release, small_batches, table, utf8, word_hashes
+from .common import U, cut, mix64, release, small_batches, table, tidy, utf8, word_hashes
 from .components import connected_components
 
 N = 5
@@ -43,7 +43,7 @@ HOT_TOKENS = 1 << 22  # bound on tokens known as frequent
 EARLY = 4  # early common tokens asked for before a pair is looked at
 HOT_DF = 32  # least document frequency of one
 BLOOM_BITS = 1 << 24
-FLUSH = 1 << 19  # tokens packed together by a task
+FLUSH = 1 << 18  # tokens packed together by a task
 RANGE_TOKENS = 1 << 20  # tokens aimed at for one range
 
 _MULT = mix64(np.arange(101, 101 + N, dtype=U)) | U(1)
@@ -101,6 +101,7 @@ def set_table(docs: DataFrame) -> DataFrame:
         for texts in parts:
             sets = [shingles(t) for t in texts]
             yield pd.DataFrame({"n": [len(s) for s in sets], "node": [set_hash(s) for s in sets]})
+        tidy()
 
     text = F.col("text").cast("string")
     got = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), measure(text).alias("m"))
@@ -137,6 +138,8 @@ def frequent_tokens(docs: DataFrame, total: int) -> np.ndarray:
                     size = 0
         if held:
             yield flush()
+        held.clear()
+        tidy()
 
     def count(p: pd.DataFrame) -> pd.DataFrame:
         t = np.concatenate([np.frombuffer(x, U) for x in p["t"]])
@@ -193,6 +196,8 @@ def postings(docs: DataFrame, hot: np.ndarray, total: int) -> DataFrame:
                     size = 0
         if held:
             yield flush()
+        held.clear()
+        tidy()
 
     def meet(p: pa.Table) -> pa.Table:
         def joined(c: str, kind: type) -> np.ndarray:
@@ -271,14 +276,8 @@ def full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     bloom[got["w"].to_numpy()] = got["b"].to_numpy()
     shared = spark.sparkContext.broadcast(bloom)
 
-    @F.arrow_udf("boolean")
-    def wanted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = shared.value.view(U)
-        for h in parts:
-            k = h.to_numpy(zero_copy_only=False) % BLOOM_BITS
-            yield pa.array((words[k >> 6] >> (k & 63).astype(U) & U(1)).astype(bool))
-
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.view(U)
         seen: set[int] = set()
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -290,8 +289,10 @@ def full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
         for p in parts:
             held, size = [], 0
-            for text in p["text"]:
-                s = shingles(text.as_py())
+            k = p["h"].to_numpy(zero_copy_only=False) % BLOOM_BITS
+            wanted = words[k >> 6] >> (k & 63).astype(U) & U(1)
+            for i in np.flatnonzero(wanted):
+                s = shingles(p["text"][int(i)].as_py())
                 node = set_hash(s)
                 if not len(s) or node in seen:
                     continue
@@ -303,9 +304,10 @@ def full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
                     held, size = [], 0
             if held:
                 yield batch(held)
+        tidy()
 
     text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text")).filter(wanted(F.xxhash64("text"))).mapInArrow(read, "node long, s array<long>, p2 array<int>, p3 array<int>")
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(read, "node long, s array<long>, p2 array<int>, p3 array<int>")
     rows = rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
     return cut(rows.withColumn("n", F.size("s").cast("long")), "full-sets")
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, mix64, small_batches, table
+from .common import U, mix64, small_batches, table, tidy
 
 SHARPNESS = 1.0
 SEED = 20_240_607
@@ -328,6 +328,7 @@ class PieceCodec:
             for key, text in parts:
                 k = mix64(key.fill_null(-(2**62)).to_numpy(zero_copy_only=False).astype(np.int64).view(U))
                 yield _lists(lattice.encode(k, text.to_pylist()))
+            tidy()
 
         @F.arrow_udf("string")
         def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
