@@ -151,7 +151,7 @@ def frequent_tokens(docs: DataFrame, total: int) -> np.ndarray:
         return pd.DataFrame({"t": t[first][df > floor].view(np.int64)})
 
     hot = docs.select("text").mapInPandas(pack, "r long, t binary, c binary").groupBy("r").applyInPandas(count, "t long")
-    return np.sort(np.array([r["t"] for r in hot.collect()], np.int64).view(U))
+    return np.sort(hot.toArrow()["t"].to_numpy().astype(np.int64).view(U))
 
 
 def postings(docs: DataFrame, hot: np.ndarray, total: int) -> DataFrame:
