@@ -9,7 +9,8 @@ the full sets.
 
 Copies and large groups cost no quadratic work: equal sets are one node; a first round links
 every posting only to one leader of its token, and after it tokens whose nodes lie in one
-component are done. The second round pairs the remaining nodes across components only. In it a
+component are done. The second round pairs the remaining nodes across components only; there a parity
+sketch of each set, met inside the join, bounds the number of differing tokens from below. A
 pair is left out only if a filter proves it unlinked, so components are exact.
 
 Frequent tokens are counted over the whole corpus. In a group of edited copies the shared
@@ -46,6 +47,8 @@ BLOOM_BITS = 1 << 24
 FLUSH = 1 << 18  # tokens packed together by a task
 RANGE_TOKENS = 1 << 20  # tokens aimed at for one range
 
+SKETCH = [f"b{i}" for i in range(8)]  # columns of a set's parity sketch, 64 bits each
+
 _MULT = mix64(np.arange(101, 101 + N, dtype=U)) | U(1)
 
 
@@ -74,6 +77,13 @@ def set_hash(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each of 64 * len(SKETCH) buckets, as signed longs. The
+    sketches of two sets differ in no more bits than the sets differ in tokens."""
+    odd = np.bincount((s & U(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def prefix_size(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
@@ -94,18 +104,19 @@ def _by_range(tokens: np.ndarray, shift: int, columns: list[np.ndarray]) -> Iter
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n, node for every document, written to scratch."""
+    """doc_id, text_hash, n, node and SKETCH for every document, written to scratch."""
 
-    @F.pandas_udf("n long, node long")
+    @F.pandas_udf(", ".join(f"{c} long" for c in ("n", "node", *SKETCH)))
     def measure(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             sets = [shingles(t) for t in texts]
-            yield pd.DataFrame({"n": [len(s) for s in sets], "node": [set_hash(s) for s in sets]})
+            bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(SKETCH))
+            yield pd.DataFrame({"n": [len(s) for s in sets], "node": [set_hash(s) for s in sets]} | dict(zip(SKETCH, bits.T, strict=True)))
         tidy()
 
     text = F.col("text").cast("string")
     got = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), measure(text).alias("m"))
-    return cut(got.select("doc_id", "text_hash", "m.n", "m.node"), "sets")
+    return cut(got.select("doc_id", "text_hash", "m.n", "m.node", *(f"m.{b}" for b in SKETCH)), "sets")
 
 
 def frequent_tokens(docs: DataFrame, total: int) -> np.ndarray:
@@ -253,13 +264,25 @@ def leader_pairs(post: DataFrame) -> DataFrame:
     return cut(_met(rated, lead, F.col("a.node") != F.col("b.node")), "leader-pairs")
 
 
-def crossing_pairs(post: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of different components that share a posted token, without those tried before."""
+def _near_sketches() -> Column:
+    """Whether the sketches of a and b differ in no more bits than linked sets differ in tokens."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    differ = F.lit(0)
+    for c in SKETCH:
+        differ = differ + F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
+    return differ <= na + nb - 2 * _least_common(na, nb)
+
+
+def crossing_pairs(post: DataFrame, comps: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components that share a posted token, without those tried before and
+    those whose sketches differ too much."""
     post = post.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     post = cut(post, "labelled")
     mixed = post.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
     post = cut(post.join(cut(mixed, "mixed"), "token"), "mixed-postings")
-    met = _met(post, post, F.col("a.comp") < F.col("b.comp"))
+    bits = cut(sets.groupBy("node").agg(*(F.first(b).alias(b) for b in SKETCH)), "sketches")
+    post = cut(post.join(bits, "node"), "sketched-postings")
+    met = _met(post, post, (F.col("a.comp") < F.col("b.comp")) & _near_sketches())
     return cut(met.join(tried, ["u", "v"], "left_anti"), "crossing")
 
 
@@ -353,7 +376,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         release(None, docs.sparkSession)
         tried = leader_pairs(post)
         links = verified(docs, sets, tried)
-        fresh = crossing_pairs(post, connected_components(links), tried)
+        fresh = crossing_pairs(post, connected_components(links), tried, sets)
         release(post, docs.sparkSession)
         if not fresh.isEmpty():
             links = links.unionByName(verified(docs, sets, fresh))

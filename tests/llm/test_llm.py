@@ -258,6 +258,17 @@ def test_jaccard_brute_force(spark, monkeypatch):
     assert ngram_join.jaccard_components(docs(spark, [(1, None, "a")])).first()["component_id"] == 1
 
 
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    for n, drop in ((0, 0), (1, 1), (40, 3), (150, 60), (2500, 400)):
+        a = pool[:n]
+        b = np.concatenate([a[drop:], pool[2900 : 2900 + drop]])
+        bits = sum(int(x).bit_count() for x in (ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+    assert ngram_join.sketch(pool[:5]).view(np.uint8).any()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["comp"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
