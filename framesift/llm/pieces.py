@@ -36,8 +36,8 @@ from .common import U, mix64, small_batches, table, tidy
 
 SHARPNESS = 1.0
 SEED = 20_240_607
-CHARS = 1 << 20  # characters of one lock-step batch
-CACHE_SLOTS = 1 << 19
+CHARS = 1 << 19  # characters of one lock-step batch
+CACHE_SLOTS = 1 << 18
 _CODE = 1 << 24  # arcs from here on are characters to be spelled in bytes
 _FOREIGN = 0x110000  # stands for a U+2581 of the text itself
 
@@ -314,7 +314,7 @@ def _lists(rows: list[np.ndarray | None]) -> pa.ListArray:
 
 class PieceCodec:
     """Encoding and decoding columns; the vocabulary is broadcast once and each Python worker
-    builds the lattice once."""
+    builds the lattice once. both() does the two in one worker."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, sharpness: float = SHARPNESS) -> None:
         small_batches(spark)
@@ -336,7 +336,16 @@ class PieceCodec:
             for ids in parts:
                 yield lattice.decode_lists(ids)
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("piece_ids array<int>, decoded string")
+        def both(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            lattice = _lattice(shared, name)
+            for key, text in parts:
+                k = mix64(key.fill_null(-(2**62)).to_numpy(zero_copy_only=False).astype(np.int64).view(U))
+                ids = _lists(lattice.encode(k, text.to_pylist()))
+                yield pa.StructArray.from_arrays([ids, lattice.decode_lists(ids)], ["piece_ids", "decoded"])
+            tidy()
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def pieces(self, key: Column, text: Column) -> Column:
         return self._encode(key.cast("long"), text.cast("string"))
@@ -344,13 +353,16 @@ class PieceCodec:
     def text(self, piece_ids: Column) -> Column:
         return self._decode(piece_ids)
 
+    def both(self, key: Column, text: Column) -> Column:
+        """Struct of piece_ids and `decoded`, the text that these ids spell."""
+        return self._both(key.cast("long"), text.cast("string"))
+
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with piece_ids (sampled, seeded by doc_id) and `decoded`, the text they spell."""
     codec = PieceCodec(docs.sparkSession, path)
-    return docs.withColumn("piece_ids", codec.pieces(F.col("doc_id"), F.col("text"))).withColumn(
-        "decoded", codec.text(F.col("piece_ids"))
-    )
+    got = docs.withColumn("_both", codec.both(F.col("doc_id"), F.col("text")))
+    return got.withColumns({"piece_ids": F.col("_both.piece_ids"), "decoded": F.col("_both.decoded")}).drop("_both")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,6 +294,10 @@ def test_pieces_round_trip_and_seeds(spark):
     again = pieces.encode_documents(docs(spark, rows).repartition(3)).collect()
     key = lambda rs: sorted((r["doc_id"] or -1, r["text"] or "", r["piece_ids"] or []) for r in rs)
     assert key(got) == key(again)
+    codec = pieces.PieceCodec(spark)
+    apart = docs(spark, rows).withColumn("piece_ids", codec.pieces(F.col("doc_id"), F.col("text")))
+    assert key(apart.collect()) == key(got)
+    assert all(r["d"] == r["text"] for r in apart.select("text", codec.text(F.col("piece_ids")).alias("d")).collect())
     assert next(r for r in got if r["doc_id"] == 1)["piece_ids"] is None
     assert pieces.encode_documents(docs(spark, [])).count() == 0
 
