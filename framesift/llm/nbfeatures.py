@@ -23,6 +23,7 @@ BITS = 22
 DIM = 1 << BITS
 PIECE = 1 << 20  # characters worked on at a time, so a very long text needs bounded memory
 TRAIN_DOCS = 5_000  # bound on labelled training documents, smallest hash of doc_id first
+TRAIN_TASKS = 32  # tasks that read their features
 MIN_DF = 5
 Z_MIN = 4.0
 ALPHA = 1.0
@@ -101,8 +102,10 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int = TRAIN_DOCS) -> DataFrame:
-    """text, y of at most `bound` labelled ids for which `learn` (over doc_id) holds. An id
-    labelled both ways counts as 1. The id list is bounded and broadcast."""
+    """doc_id, text, y of at most `bound` labelled ids for which `learn` (over doc_id) holds. An id
+    labelled both ways counts as 1. The id list is bounded and broadcast. Rows that share an id
+    are one training document, the least of their texts, so repeats don't pass the bound; they
+    are merged map-side before any shuffle."""
     ids = (
         labels.filter(F.col(label).isNotNull() & F.coalesce(learn, F.lit(False)))
         .groupBy("doc_id")
@@ -110,7 +113,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    wanted = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return wanted.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).repartition(TRAIN_TASKS)
 
 
 def gather(rows: DataFrame, features: Features) -> tuple[list[np.ndarray], np.ndarray]:

@@ -142,6 +142,14 @@ def test_classifiers(spark, m):
     assert score(df.limit(0), model).count() == 0
 
 
+def test_repeated_ids_are_one_training_document(spark):
+    rows = docs(spark, [(1, f"copy {k % 3}", "a") for k in range(300)] + [(2, None, "a"), (None, "x", "a"), (3, "other", "a")])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (4, 1), (None, 1)], "doc_id long, toxic int")
+    got = nbfeatures.training_rows(rows, labels, "toxic", F.lit(True)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "copy 0", 1), (2, None, 0), (3, "other", 1)]
+    assert len(nbfeatures.training_rows(rows, labels, "toxic", F.lit(True), bound=2).collect()) <= 2
+
+
 def test_long_text_features_do_not_depend_on_pieces(monkeypatch):
     text = "".join(random.Random(1).choices("abc déf\n", k=5000))
     whole = nbfeatures.present(text, quality_classifier.features)
