@@ -17,13 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, small_batches, tidy, utf8, word_hashes
+from .common import U, cut, release, small_batches, tidy, utf8, word_hashes
 
 BITS = 22
 DIM = 1 << BITS
 PIECE = 1 << 20  # characters worked on at a time, so a very long text needs bounded memory
-TRAIN_DOCS = 5_000  # bound on labelled training documents, smallest hash of doc_id first
+TRAIN_DOCS = 8_000  # bound on labelled training documents, smallest hash of doc_id first
 TRAIN_TASKS = 32  # tasks that read their features
+CHUNK = 1 << 16  # neighbouring buckets counted under one key
 MIN_DF = 5
 Z_MIN = 4.0
 ALPHA = 1.0
@@ -74,10 +75,8 @@ Features = Callable[[str], Iterator[np.ndarray]]
 
 def present(text: str | None, features: Features) -> np.ndarray:
     """Sorted distinct buckets of a text."""
-    seen = np.zeros(DIM, bool)
-    for codes in features(text or ""):
-        seen[codes] = True
-    return np.flatnonzero(seen).astype(np.int32)
+    seen = [np.unique(codes) for codes in features(text or "")]
+    return np.unique(np.concatenate(seen)).astype(np.int32) if seen else np.zeros(0, np.int32)
 
 
 @dataclass
@@ -117,42 +116,91 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
     return wanted.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).repartition(TRAIN_TASKS)
 
 
-def gather(rows: DataFrame, features: Features) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bucket lists and labels of the training rows, read on the executors; texts stay there."""
+@dataclass
+class Training:
+    """What a linear model is fitted to. lists: of each training text, its buckets whose ratio
+    isn't 0, as places in `buckets`; scale: the ratios."""
 
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "y": p["y"], "f": [present(t, features).tobytes() for t in p["text"]]})
+    lists: list[np.ndarray]
+    y: np.ndarray
+    buckets: np.ndarray
+    scale: np.ndarray
 
-    small_batches(rows.sparkSession)
-    got = rows.mapInPandas(read, "doc_id long, y int, f binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["f"])))  # the same model whatever the order of tasks
-    return [np.frombuffer(r["f"], np.int32) for r in got], np.array([r["y"] for r in got], np.int64)
-
-
-def log_count_ratio(lists: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """r for every bucket; 0 where the classes don't differ clearly."""
-    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    df = np.zeros((2, DIM), np.int32)
-    for f, k in zip(lists, y, strict=True):
-        df[k][f] += 1
-    used = np.flatnonzero(df[0] + df[1] >= MIN_DF)
-    neg, pos = df[0][used], df[1][used]
+    def model(self, w: np.ndarray, *rest: float) -> Model:
+        """The weights w of the scaled features, and the rest of a Model."""
+        weights = np.zeros(DIM, np.float32)
+        weights[self.buckets] = w * self.scale
+        return Model(weights, *rest)
+
+
+def log_count_ratio(neg: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """r of buckets that neg and pos of the n[0] and n[1] texts of each class hold; 0 where the
+    classes don't differ clearly."""
     ratio = np.log((pos + ALPHA) / (n[1] + 2 * ALPHA)) - np.log((neg + ALPHA) / (n[0] + 2 * ALPHA))
     share = (pos + neg) / n.sum()
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
-    clear = np.abs(pos / n[1] - neg / n[0]) >= Z_MIN * error
-    r = np.zeros(DIM, np.float32)
-    r[used[clear]] = ratio[clear]
-    return r
-
-
-def scaled_matrix(lists: list[np.ndarray], r: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each list without buckets of ratio 0, renumbered; and the ratios by new number."""
-    used = np.flatnonzero(r)
-    place = np.full(DIM, -1, np.int64)
-    place[used] = np.arange(len(used))
-    return [k[k >= 0] for k in (place[f] for f in lists)], r[used]
+    clear = (neg + pos >= MIN_DF) & (np.abs(pos / n[1] - neg / n[0]) >= Z_MIN * error)
+    return np.where(clear, ratio, 0).astype(np.float32)
+
+
+def bucket_ratios(rows: DataFrame, features: Features, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose r isn't 0, ascending, and r. Counted on the executors: each task packs its
+    counts by chunks of buckets, and only these buckets reach the driver."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros((2, DIM), np.int32)
+        for p in parts:
+            for t, k in zip(p["text"], p["y"], strict=True):
+                df[k][present(t, features)] += 1
+        for at in range(0, DIM, CHUNK):
+            neg, pos = df[:, at : at + CHUNK]
+            held = np.flatnonzero(neg + pos).astype(np.int32)
+            if held.size:
+                yield pd.DataFrame({"at": [at], "held": [held.tobytes()], "neg": [neg[held].tobytes()], "pos": [pos[held].tobytes()]})
+        tidy()
+
+    def ratios(p: pd.DataFrame) -> pd.DataFrame:
+        df = np.zeros((2, CHUNK), np.int64)
+        for held, *counts in zip(p["held"], p["neg"], p["pos"], strict=True):
+            for k in (0, 1):
+                df[k][np.frombuffer(held, np.int32)] += np.frombuffer(counts[k], np.int32)
+        r = log_count_ratio(df[0], df[1], n)
+        used = np.flatnonzero(r)
+        return pd.DataFrame({"buckets": [(used + p["at"].iloc[0]).astype(np.int32).tobytes()], "r": [r[used].tobytes()]})
+
+    counts = rows.select("text", "y").mapInPandas(count, "at int, held binary, neg binary, pos binary")
+    got = counts.groupBy("at").applyInPandas(ratios, "buckets binary, r binary").collect()
+    buckets = np.frombuffer(b"".join(x["buckets"] for x in got), np.int32)
+    r = np.frombuffer(b"".join(x["r"] for x in got), np.float32)
+    order = np.argsort(buckets)
+    return buckets[order], r[order]
+
+
+def gather(rows: DataFrame, features: Features) -> Training:
+    """What the training rows say. Texts and buckets of ratio 0 stay on the executors, which go
+    through the texts twice: to count buckets, then to list those of each text."""
+    spark = rows.sparkSession
+    small_batches(spark)
+    rows = cut(rows, "training")  # else the documents are read for each pass
+    n = np.zeros(2)
+    for x in rows.groupBy("y").count().collect():
+        n[x["y"]] = x["count"]
+    buckets, scale = bucket_ratios(rows, features, n) if n.all() else (np.zeros(0, np.int32), np.zeros(0, np.float32))
+    shared = spark.sparkContext.broadcast(buckets)
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.full(DIM, -1, np.int32)
+        place[shared.value] = np.arange(len(shared.value), dtype=np.int32)
+        for p in parts:
+            found = (place[present(t, features)] if len(shared.value) else place[:0] for t in p["text"])
+            yield pd.DataFrame({"doc_id": p["doc_id"], "y": p["y"], "f": [k[k >= 0].tobytes() for k in found]})
+        tidy()
+
+    got = rows.mapInPandas(read, "doc_id long, y int, f binary").collect()
+    shared.destroy()
+    release(rows, spark)
+    got.sort(key=lambda r: r["doc_id"])  # the same model whatever the order of tasks
+    return Training([np.frombuffer(r["f"], np.int32) for r in got], np.array([r["y"] for r in got], np.int64), buckets, scale)
 
 
 def constant(y: np.ndarray) -> Model:

@@ -72,21 +72,17 @@ def sigmoid_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(k[0], 0.0)), float(k[1])
 
 
-def fit_support_vectors(lists: list[np.ndarray], y: np.ndarray) -> nb.Model:
-    if len(set(y.tolist())) < 2:
-        return nb.constant(y)
-    r = nb.log_count_ratio(lists, y)
-    rows, scale = nb.scaled_matrix(lists, r)
-    w, b = dual_coordinate_descent(rows, scale, y)
-    margin = np.array([w[x] @ scale[x] + b for x in rows])
-    weights = np.zeros(nb.DIM, np.float32)
-    weights[np.flatnonzero(r)] = w * scale
-    return nb.Model(weights, float(b), *sigmoid_fit(margin, y))
+def fit_support_vectors(t: nb.Training) -> nb.Model:
+    if len(set(t.y.tolist())) < 2:
+        return nb.constant(t.y)
+    w, b = dual_coordinate_descent(t.lists, t.scale, t.y)
+    margin = np.array([w[x] @ t.scale[x] + b for x in t.lists])
+    return t.model(w, float(b), *sigmoid_fit(margin, t.y))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = nb.TRAIN_DOCS) -> nb.Model:
     rows = nb.training_rows(docs, labels, label, fold(F.col("doc_id"), FOLDS) != HELD, bound)
-    return fit_support_vectors(*nb.gather(rows, features))
+    return fit_support_vectors(nb.gather(rows, features))
 
 
 def score_quality(docs: DataFrame, model: nb.Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -34,14 +34,13 @@ def features(text: str) -> Iterator[np.ndarray]:
     yield from nb.char_ngrams(f" {text.lower()} ", ORDERS)
 
 
-def fit_logistic(lists: list[np.ndarray], y: np.ndarray) -> nb.Model:
+def fit_logistic(t: nb.Training) -> nb.Model:
     """Gradient descent with per-weight rates on the mean log-loss; features are r of present buckets."""
+    y, scale = t.y, t.scale
     if len(set(y.tolist())) < 2:
         return nb.constant(y)
-    r = nb.log_count_ratio(lists, y)
-    rows, scale = nb.scaled_matrix(lists, r)
-    col = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    col = np.concatenate(t.lists)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in t.lists])
     val = scale[col]
     n, d = len(y), len(scale)
     w, mean, power = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)  # the last is the bias
@@ -53,15 +52,12 @@ def fit_logistic(lists: list[np.ndarray], y: np.ndarray) -> nb.Model:
         power = 0.99 * power + 0.01 * g * g
         rate = RATE * (1 - (k - 1) / STEPS)
         w -= rate * (mean / (1 - 0.9**k)) / (np.sqrt(power / (1 - 0.99**k)) + 1e-9)
-    w, b = w[:d], w[d]
-    weights = np.zeros(nb.DIM, np.float32)
-    weights[np.flatnonzero(r)] = w * scale
-    return nb.Model(weights, float(b))
+    return t.model(w[:d], float(w[d]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = nb.TRAIN_DOCS) -> nb.Model:
     rows = nb.training_rows(docs, labels, label, fold(F.col("doc_id"), FOLDS) != HELD, bound)
-    return fit_logistic(*nb.gather(rows, features))
+    return fit_logistic(nb.gather(rows, features))
 
 
 def score_toxicity(docs: DataFrame, model: nb.Model, threshold: float = THRESHOLD) -> DataFrame:

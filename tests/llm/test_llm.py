@@ -150,6 +150,24 @@ def test_repeated_ids_are_one_training_document(spark):
     assert len(nbfeatures.training_rows(rows, labels, "toxic", F.lit(True), bound=2).collect()) <= 2
 
 
+@pytest.mark.parametrize("m", [toxicity, quality_classifier])
+def test_only_buckets_with_a_ratio_reach_the_driver(spark, m):
+    rows = made_documents(200)
+    found = [nbfeatures.present(t, m.features) for _, t, _ in rows]
+    n = [sum(y == k for _, _, y in rows) for k in (0, 1)]
+    df = np.zeros((2, nbfeatures.DIM))
+    for f, (_, _, y) in zip(found, rows, strict=True):
+        df[y][f] += 1
+    ratio = np.log((df[1] + 1) / (n[1] + 2)) - np.log((df[0] + 1) / (n[0] + 2))
+    share = df.sum(0) / len(rows)
+    clear = (df.sum(0) >= 5) & (abs(df[1] / n[1] - df[0] / n[0]) >= 4 * np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1])))
+    got = nbfeatures.gather(spark.createDataFrame(rows, "doc_id long, text string, y int"), m.features)
+    assert np.array_equal(got.buckets, np.flatnonzero(clear)) and 0 < clear.sum() < (df.sum(0) > 0).sum() / 2
+    assert np.allclose(got.scale, ratio[clear]) and got.y.tolist() == [y for _, _, y in rows]
+    assert all(np.array_equal(got.buckets[k], f[clear[f]]) for k, f in zip(got.lists, found, strict=True))
+    assert nbfeatures.TRAIN_DOCS >= 8_000
+
+
 def test_long_text_features_do_not_depend_on_pieces(monkeypatch):
     text = "".join(random.Random(1).choices("abc déf\n", k=5000))
     whole = nbfeatures.present(text, quality_classifier.features)
