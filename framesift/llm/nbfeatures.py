@@ -101,12 +101,14 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, text, y of at most `bound` labelled ids for which `learn` (over doc_id) holds. An id
-    labelled both ways counts as 1. The id list is bounded and broadcast. Rows that share an id
-    are one training document, the least of their texts, so repeats don't pass the bound; they
-    are merged map-side before any shuffle."""
+    """doc_id, text, y of at most `bound` labelled ids of docs for which `learn` (over doc_id) holds;
+    labels of ids that aren't in docs don't use up the bound. An id labelled both ways counts as
+    1. The id list is bounded and broadcast. Rows that share an id are one training document, the
+    least of their texts, so repeats don't pass the bound; they are merged map-side before any
+    shuffle."""
     ids = (
         labels.filter(F.col(label).isNotNull() & F.coalesce(learn, F.lit(False)))
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")

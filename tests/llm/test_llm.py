@@ -150,6 +150,15 @@ def test_repeated_ids_are_one_training_document(spark):
     assert len(nbfeatures.training_rows(rows, labels, "toxic", F.lit(True), bound=2).collect()) <= 2
 
 
+def test_labels_without_a_document_do_not_use_up_the_bound(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(None, 1)], "doc_id long, toxic int")
+    order = [r["doc_id"] for r in labels.dropna().orderBy(F.xxhash64("doc_id")).collect()]
+    kept = order[50:]  # the first half by hash was rejected by a stage before
+    rows = docs(spark, [(i, "text", "a") for i in kept] + [(None, "text", "a")])
+    got = nbfeatures.training_rows(rows, labels, "toxic", F.lit(True), bound=20).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(kept[:20])
+
+
 @pytest.mark.parametrize("m", [toxicity, quality_classifier])
 def test_only_buckets_with_a_ratio_reach_the_driver(spark, m):
     rows = made_documents(200)
