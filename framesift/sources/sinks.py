@@ -57,11 +57,10 @@ def verify_complete(folder: str) -> None:
         raise ValueError(f"{folder} holds no complete result")
 
 
-def render_table(title: str, df: DataFrame, limit: int = 1000) -> str:
-    """A small frame as an HTML page; every cell is escaped."""
-    rows = df.limit(limit).collect()
+def render_table(title: str, df: DataFrame) -> str:
+    """A frame as an HTML page, all rows; every cell is escaped."""
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in df.toLocalIterator())
     return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>\n"
 
 

@@ -203,6 +203,11 @@ def test_index_resume_corrupt_and_tamper(spark, tmp_path):
         index.load()
 
 
+def test_html_page_has_all_rows(spark):
+    page = sinks.render_table("t", spark.range(1500).orderBy("id"))
+    assert page.count("<tr>") == 1501 and page.index("<td>0<") < page.index("<td>1499<")
+
+
 def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         media.list_images(str(tmp_path / "missing"))
