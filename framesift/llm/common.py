@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import gc
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,13 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Only on a local master, where it is unset,
+    a folder of this machine: executors elsewhere would write to disks nobody else reads."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
-        _local_scratch[app] = "file://" + tempfile.mkdtemp(prefix="framesift-")
+        folder = tempfile.mkdtemp(prefix="framesift-")
+        atexit.register(shutil.rmtree, folder, True)
+        _local_scratch[app] = "file://" + folder
     return _local_scratch[app]
 
 
@@ -36,31 +45,65 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{scratch_root(spark)}/framesift-{what}-{uuid.uuid4().hex}"
 
 
+_open_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df to the scratch folder and read it back: the lineage ends there, on storage
     that outlives any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
+    for paths in _open_scopes:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end every table that cut() made inside it, but those of the frames put into the
+    list it gives. For callers that write the result before they leave."""
+    paths: list[str] = []
+    kept: list[DataFrame] = []
+    _open_scopes.append(paths)
+    try:
+        yield kept
+    finally:
+        _open_scopes[:] = [x for x in _open_scopes if x is not paths]
+        used = {f.rpartition("/")[0].rpartition("/")[2] for df in kept for f in df.inputFiles()}
+        for path in paths:
+            if path.rpartition("/")[2] not in used:
+                drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables written by cut() that no later step reads."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            drop_path(df.sparkSession, path)
+
+
 def release(df: DataFrame | None, spark: SparkSession) -> None:
-    """Delete a table written by cut() that is no longer read, and let Spark's cleaner drop the
-    shuffle files behind it: it does so when the driver collects its garbage."""
+    """drop(), and let Spark's cleaner drop the shuffle files behind it: it does so when the driver
+    collects its garbage, which on a driver with much memory may come late."""
     if df is not None:
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            drop_path(spark, path)
+        drop(df)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df hasn't got, whatever the case of its letters."""
+    known = {c.lower() for c in df.columns}
+    return next(n for k in range(len(known) + 1) if (n := f"{stem}{k or ''}").lower() not in known)
+
+
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32(doc_id as text) mod `mod`; null for a null id."""
     return F.crc32(doc_id.cast("string")) % F.lit(mod)
@@ -80,14 +123,17 @@ def word_count(text: Column) -> Column:
 
 
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows sent to Python at a time: texts can be long, so fewer than Spark's 10,000. A smaller
-    setting is left alone."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, ARROW_ROWS)
+    """Bounds what is sent to Python at a time, in rows and in bytes, as texts can be long: 1,000 rows
+    and 16 MB (or one row) instead of Spark's 10,000 and 64 MB. Smaller settings are left alone."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).strip().lower()).groups()
+        if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= most:
+            spark.conf.set(key, most)
 
 
 def tidy() -> None:

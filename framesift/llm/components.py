@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
-def _star(arcs: DataFrame) -> DataFrame:
+def _star(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """arcs u, v in the directions that a step needs: each (u, v) with m, the least of u and
     its v. The minimum is aggregated map-side; a node of very many arcs is met by a join that
-    AQE can split."""
+    AQE can split. Also the table of minima, to be dropped after use."""
     least = cut(arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
-    return arcs.join(least, "u")
+    return arcs.join(least, "u"), least
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,13 +22,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        met, least = _star(both)
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = cut(large.distinct(), "cc-large")
-        small = _star(large)  # here every u > v
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            small.select("u", F.col("m").alias("v"))
-        )
+        drop(e, least)
+        met, least = _star(large)  # here every u > v
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
         e = cut(small.filter("u <> v").distinct(), "cc-small")
+        drop(large, least)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break
