@@ -4,11 +4,13 @@ Every change is a signed row (+1 insert, -1 delete; a revised count is -1 of the
 the new). A batch of changes is summed by key, map-side first, and committed once under its
 batch id: the sums are staged, then renamed to the batch's place, and a batch that is there
 already is left alone, so retries and replays change nothing. Totals are the sum of the
-committed batches; compact() folds them into a snapshot that remembers their ids.
+committed batches; compact() folds them into a snapshot that remembers their ids. It deletes
+nothing, so totals taken before stay readable; vacuum() deletes what the newest snapshot
+covers, once no reader is left.
 
-Defined results: null source, language or text are kept as a null key or a count of 0; repeated
-rows count each; keys whose totals are both 0 are left out; an empty batch commits and changes
-nothing; extra columns are ignored.
+Defined results: null source, language or text are kept as a null key or a count of 0; empty
+texts count 0, very long ones whole; repeated rows count each; keys whose totals are both 0 are
+left out; an empty batch commits and changes nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path, table, word_count
+from .common import cut, scratch_path, small_batches, table, word_count
 
 KEYS = ["source", "lang", "tokenizer_version"]
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -35,6 +37,21 @@ def byte_tokens(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Runs of white space that the tokenizer's pattern engine can't match for want of stack.
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
+def bpe_count(coder, text: str) -> int:
+    """Number of tokens. A long run of white space is one word of the tokenizer's pattern, but its last
+    character belongs to the word after it; such a run is encoded without the pattern."""
+    n = at = 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        n += len(coder.encode_ordinary(text[at : run.start()])) + len(coder._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(coder.encode_ordinary(text[at:]))
+
+
 def bpe_tokens(text: Column, path: str | None = None) -> Column:
     """Counts of the byte-level BPE in `path` (a ranks file, present on every executor)."""
 
@@ -49,7 +66,7 @@ def bpe_tokens(text: Column, path: str | None = None) -> Column:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         for texts in parts:
-            yield pd.Series([len(coder.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([bpe_count(coder, t) if t else 0 for t in texts], dtype="int64")
 
     return count(text.cast("string"))
 
@@ -94,74 +111,122 @@ class TokenRollup:
             return False
         return True
 
-    def committed(self) -> set[str]:
-        return set(self._names("batches")) | {b for s in self._names("snapshots")[-1:] for b in self._snapshot_ids(s)}
+    def _snapshot(self) -> str | None:
+        names = self._names("snapshots")
+        return names[-1] if names else None
+
+    def _folded(self, snapshot: str | None, batches: list[str]) -> set[str]:
+        """Those of `batches` that the snapshot covers; its other ids stay where they are."""
+        if not (snapshot and batches):
+            return set()
+        ids = self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{snapshot}/ids")
+        listed = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        return {r["batch"] for r in ids.join(F.broadcast(listed), "batch", "left_semi").distinct().collect()}
 
-    def _snapshot_ids(self, name: str) -> list[str]:
-        rows = self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{name}/ids").collect()
-        return [r["batch"] for r in rows]
+    def committed(self, batch_id: str) -> bool:
+        return batch_id in self._names("batches") or bool(self._folded(self._snapshot(), [batch_id]))
 
     def commit(self, batch_id: str, signed: DataFrame) -> bool:
         """Apply a batch once; False if it was applied before."""
         if not re.fullmatch(r"[A-Za-z0-9][\w-]*", batch_id):
             raise ValueError(f"batch id {batch_id!r}: letters, digits, _ and - only")
-        if batch_id in self.committed():
+        if self.committed(batch_id):
             return False
         sums = signed.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         return self._publish(sums, "batches", batch_id)
 
-    def totals(self) -> DataFrame:
-        snapshots = self._names("snapshots")[-1:]
-        folded = {b for s in snapshots for b in self._snapshot_ids(s)}
-        paths = [f"{self.path}/snapshots/{s}/totals" for s in snapshots]
-        paths += [f"{self.path}/batches/{b}" for b in self._names("batches") if b not in folded]
+    def _sum(self, snapshot: str | None, batches: list[str]) -> DataFrame:
+        """Totals of a snapshot and of batches that it doesn't cover."""
+        paths = [f"{self.path}/snapshots/{snapshot}/totals"] if snapshot else []
+        paths += [f"{self.path}/batches/{b}" for b in batches]
         if not paths:
             return self.spark.createDataFrame([], TOTALS)
         rows = self.spark.read.schema(TOTALS).parquet(*paths)
         out = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return out.filter("n_docs <> 0 or n_tokens <> 0")
 
+    def _listing(self) -> tuple[str | None, list[str]]:
+        """The newest snapshot and the committed batches that it doesn't cover. Batches are listed
+        first: one that a compaction folds in between is then covered by the snapshot."""
+        batches = self._names("batches")
+        snapshot = self._snapshot()
+        folded = self._folded(snapshot, batches)
+        return snapshot, [b for b in batches if b not in folded]
+
+    def totals(self) -> DataFrame:
+        return self._sum(*self._listing())
+
     def compact(self) -> None:
-        """Fold all committed batches into a new snapshot; batch folders it covers may then go."""
-        ids = sorted(self.committed())
+        """Fold the batches committed by now into a new snapshot. Ids and totals come from one
+        listing, so a batch committed meanwhile is in neither and stays open."""
+        snapshot, batches = self._listing()
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(b,) for b in ids], "batch string").write.parquet(f"{staged}/ids")
-        place = self._path(f"{self.path}/snapshots/{len(self._names('snapshots')):08d}")
+        self._sum(snapshot, batches).write.parquet(f"{staged}/totals")
+        ids = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        if snapshot:
+            ids = ids.unionByName(self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{snapshot}/ids"))
+        ids.write.parquet(f"{staged}/ids")
+        number = int(snapshot) + 1 if snapshot else 0
+        place = self._path(f"{self.path}/snapshots/{number:08d}")
         self._fs.mkdirs(place.getParent())
         if self._fs.exists(place) or not self._fs.rename(self._path(staged), place):
+            self._fs.delete(self._path(staged), True)
             raise RuntimeError("another compaction was faster")
-        for b in ids:
+        stray = self._path(f"{place.toString()}/{staged.rpartition('/')[2]}")
+        if self._fs.exists(stray):
+            self._fs.delete(stray, True)
+            raise RuntimeError("another compaction was faster")
+
+    def vacuum(self) -> None:
+        """Delete batches that the newest snapshot covers, and older snapshots. Totals taken before
+        the last compaction can no longer be read after it."""
+        snapshot = self._snapshot()
+        for b in self._folded(snapshot, self._names("batches")):
             self._fs.delete(self._path(f"{self.path}/batches/{b}"), True)
+        for old in self._names("snapshots"):
+            if snapshot and old < snapshot:
+                self._fs.delete(self._path(f"{self.path}/snapshots/{old}"), True)
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted under two tokenizers; those under ten words are deleted; word
-    counts are revised to count line ends as well. Every batch is committed twice."""
-    docs = table(spark, sf_dir, "documents")
+def count_batches(docs: DataFrame) -> dict[str, DataFrame]:
+    """The query's batches: all documents are inserted under three tokenizers (words, bytes, byte-level
+    BPE); those under ten words are deleted; word counts are revised to count line ends as well."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = (F.length(text) - F.length(F.translate(text, "\n", ""))).cast("long")
+    small_batches(docs.sparkSession)
     counted = cut(
-        docs.select("source", "lang", word_tokens(F.col("text")).alias("words"), byte_tokens(F.col("text")).alias("bytes"), lines.alias("lines")),
+        docs.select(
+            "source",
+            "lang",
+            word_tokens(F.col("text")).alias("words"),
+            byte_tokens(F.col("text")).alias("bytes"),
+            bpe_tokens(F.col("text")).alias("bpe"),
+            lines.alias("lines"),
+        ),
         "token-counts",
     )
     short, rest = counted.filter("words < 10"), counted.filter("words >= 10")
-    words, bytes_ = F.col("words"), F.col("bytes")
-    batches = {
-        "001-insert-words": changes(counted, words, "words-v1", 1),
-        "002-insert-bytes": changes(counted, bytes_, "bytes-v1", 1),
-        "003-delete-short": changes(short, words, "words-v1", -1).unionByName(changes(short, bytes_, "bytes-v1", -1)),
-        "004-revise-words": revisions(rest, words, words + F.col("lines"), "words-v1"),
+    kinds = {"words-v1": F.col("words"), "bytes-v1": F.col("bytes"), "bpe-50k": F.col("bpe")}
+    gone = [changes(short, count, version, -1) for version, count in kinds.items()]
+    return {f"001-insert-{v}": changes(counted, count, v, 1) for v, count in kinds.items()} | {
+        "002-delete-short": gone[0].unionByName(gone[1]).unionByName(gone[2]),
+        "003-revise-words": revisions(rest, F.col("words"), F.col("words") + F.col("lines"), "words-v1"),
     }
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count_batches() of all documents, every batch committed twice, as after a lost driver."""
+    batches = count_batches(table(spark, sf_dir, "documents").select("source", "lang", "text"))
     rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
-    for name, signed in batches.items():
-        rollup.commit(name, signed)
-    for name, signed in batches.items():  # a replay, as after a lost driver
-        rollup.commit(name, signed)
+    for _ in range(2):
+        for name, signed in batches.items():
+            rollup.commit(name, signed)
     return rollup.totals()
 
 
-ORACLE = r"""
+#: BPE counts aren't expressible in SQL, so the query has no twin; the tests hold its other rows
+#: against this SQL and the BPE rows against a tokenizer of their own.
+WORDS_AND_BYTES = r"""
 WITH c AS (
   SELECT source, lang,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
