@@ -1,53 +1,50 @@
 """Exact top-k search: KD-trees per shard with best-first traversal.
 
-Vectors become integer points floor(1024 x). Every shard of candidates (a bounded number of
-rows of one partition) gets a KD-tree: median splits on the widest side, tight bounding boxes.
-A query walks the tree best first: the bound of a box is the largest inner product a point in
-it can have, and the walk ends when no open box can beat the kth score. That kth score is
-propagated from tree to tree of a partition, and a first pass over one tree gives every
-partition a starting value. Queries come in blocks of bounded size, each broadcast; each
-partition returns at most k rows a query, and a grouped top-k merges them.
+Vectors become integer points floor(1024 x). Candidates are dealt to shards and queries to blocks,
+both of bounded size, and every shard meets every block in a task of its own: nothing is
+collected by the driver, and the plan has the same form for any number of queries. A shard is
+cut into KD-trees: median splits on the widest side, tight bounding boxes. A query walks a tree
+best first: the bound of a box is the largest inner product a point in it can have, and the walk
+ends when no open box can beat the kth score. That kth score is propagated from tree to tree of
+a shard, and a pilot shard, searched before the others, gives every shard a starting value, so
+that shards return only what can still rank. A grouped top-k merges them.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part,
-nor do rows with a null vec_id; vectors meet only vectors of their own length; a repeated
-row is a candidate as often as it occurs and one query; ties go to the smaller vec_id; scores
-beyond a long are clipped to it; empty tables give an empty result.
+nor do rows with a null vec_id; components beyond a long are clipped to it; vectors meet only
+vectors of their own length, however long; a repeated row is a candidate as often as it occurs
+and one query; ties go to the smaller vec_id; scores beyond a long are clipped to it; extra
+columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, drop, table
 
 SCALE = 1024
 TREE_ROWS = 8192  # candidates of one tree
 LEAF_ROWS = 256
-BLOCK_QUERIES = 4096  # queries broadcast together
+SHARD_ROWS = 1 << 16  # candidates of one shard
+BLOCK_ROWS = 1 << 13  # queries of one block
+CELL_BYTES = 64 << 20  # bound on a shard's and on a block's numbers
 EVERY = 100
 K = 10
 _LONG = (1 << 63) - 1
 
 
-class Points:
-    """Integer vectors of one length with inner products that stay exact."""
-
-    def __init__(self, rows: np.ndarray) -> None:
-        self.rows = rows  # float64 holding integers
-        self.top = float(np.abs(rows).max(initial=0))
-
-
 def product(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
-    """a @ b of integers held as doubles; through Python integers where doubles can't hold it."""
+    """a @ b of integers held as doubles; where doubles can't hold it, through Python integers and
+    clipped to a long."""
     if exact:
         return a @ b
-    return a.astype(object) @ b.astype(object)
+    whole = np.vectorize(int, otypes=[object])
+    return np.clip(whole(a) @ whole(b), -_LONG - 1, _LONG)
 
 
 class Tree:
@@ -73,7 +70,7 @@ class Tree:
             if parent >= 0:
                 left, right = self.kids[parent] or (0, 0)
                 self.kids[parent] = (me, right) if side == 0 else (left, me)
-            if b - a > leaf and (width := self.hi[me] - self.lo[me]).max() > 0:
+            if b - a > leaf and (width := self.hi[me] - self.lo[me]).max(initial=0) > 0:
                 axis, mid = int(width.argmax()), (b - a) // 2
                 order[a:b] = own[np.argpartition(part[:, axis], mid)]
                 self.kids[me] = (0, 0)
@@ -128,101 +125,100 @@ def integer_points(df: DataFrame) -> DataFrame:
     )
 
 
-def _searcher(shared, floors, k: int):
-    """mapInPandas body: trees over the partition's rows, every query of the block against each."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, qv, qdim = shared.value
-        floor = floors.value if floors else {}
-        # each slot: a heap whose floor entries (id None) stand for scores known elsewhere
-        best: list[list[tuple]] = [[] for _ in qid]
-        start = {i: floor[i] for i in range(len(qid)) if i in floor}
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        count: dict[int, int] = {}
-
-        def flush(dim: int) -> None:
-            ids = np.concatenate([x[0] for x in held[dim]])
-            rows = np.concatenate([x[1] for x in held[dim]])
-            held[dim], count[dim] = [], 0
-            for at in range(0, len(ids), TREE_ROWS):
-                tree = Tree(ids[at : at + TREE_ROWS], rows[at : at + TREE_ROWS])
-                mine = np.flatnonzero(qdim == dim)
-                if not len(mine):
+def _by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By vector length: places in the column, and the vectors as rows."""
+    lists = vectors.combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    start = np.cumsum(size) - size
+    return {
+        int(d): (at := np.flatnonzero(size == d), flat[start[at][:, None] + np.arange(d)].astype(float)) for d in np.unique(size)
+    }
+
+
+RESULT = "slot long, query_id long, vec_id long, score long"
+
+
+def _cell(k: int):
+    """applyInArrow body: trees over a shard, every query of a block against each."""
+
+    def run(shard: pa.Table, block: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if shard.num_rows and block.num_rows:
+            ids, own, slot = (t[c].to_numpy() for t, c in ((shard, "vec_id"), (block, "vec_id"), (block, "slot")))
+            floor_score, floor_id = block["floor_score"].to_pylist(), block["floor_id"].to_pylist()
+            candidates = _by_length(shard["v"])
+            for dim, (mine, q) in _by_length(block["v"]).items():
+                if dim not in candidates:
                     continue
-                q = qv[dim]
-                exact = tree.top * float(np.abs(q).max(initial=0)) * dim < 2.0**52
-                for a in range(0, len(mine), 256):
-                    bound = tree.bounds(q[a : a + 256], exact)
-                    for j, i in enumerate(mine[a : a + 256]):
-                        f = start.get(i)
-                        if f is not None and (len(best[i]) < k or best[i][0] < f):
-                            # the kth (score, -id) of another shard: only what is no worse can rank
-                            if (bound[j][0], -tree.least[0]) < f:
-                                continue
-                        tree.search(q[a + j], int(qid[i]), bound[j], best[i], k, exact)
-
-        for p in parts:
-            if not len(p):
-                continue
-            dims = p["v"].map(len).to_numpy()
-            for dim in np.unique(dims):
-                sub = p[dims == dim]
-                rows = np.stack(sub["v"].to_numpy()) if dim else np.zeros((len(sub), 0))
-                held.setdefault(int(dim), []).append((sub["vec_id"].to_numpy(np.int64), rows))
-                count[int(dim)] = count.get(int(dim), 0) + len(sub)
-                if count[int(dim)] >= TREE_ROWS:
-                    flush(int(dim))
-        for dim in [d for d in held if count[d]]:
-            flush(dim)
-        out = [(int(i), n, -x[1], max(-_LONG - 1, min(_LONG, int(x[0])))) for n, (i, h) in enumerate(zip(qid, best, strict=True)) for x in h if n not in start or x >= start[n]]
-        yield pd.DataFrame(out, columns=["query_id", "slot", "vec_id", "score"])
+                place, rows = candidates[dim]
+                best: list[list[tuple]] = [[] for _ in mine]
+                for at in range(0, len(place), TREE_ROWS):
+                    tree = Tree(ids[place[at : at + TREE_ROWS]], rows[at : at + TREE_ROWS])
+                    exact = tree.top * float(np.abs(q).max(initial=0)) * dim < 2.0**52
+                    for a in range(0, len(mine), 256):
+                        bound = tree.bounds(q[a : a + 256], exact)
+                        for j, i in enumerate(mine[a : a + 256]):
+                            if floor_id[i] is not None and (bound[j][0], -tree.least[0]) < (floor_score[i], -floor_id[i]):
+                                continue  # the kth of the pilot is better than all of this tree
+                            tree.search(q[a + j], int(own[i]), bound[j], best[a + j], k, exact)
+                for i, heap in zip(mine, best, strict=True):
+                    least = None if floor_id[i] is None else (floor_score[i], -floor_id[i])
+                    out += [(int(slot[i]), int(own[i]), -x[1], int(x[0])) for x in heap if least is None or x >= least]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table({c.split()[0]: pa.array(x, pa.int64()) for c, x in zip(RESULT.split(", "), columns, strict=True)})
 
     return run
 
 
-SCHEMA = "query_id long, slot long, vec_id long, score long"
+def _met(shards: DataFrame, blocks: DataFrame, cells: int, k: int) -> DataFrame:
+    """Partial results of every (shard, block) that has both."""
+    a, b = (df.repartition(cells, "shard", "block").groupBy("shard", "block") for df in (shards, blocks))
+    return a.cogroup(b).applyInArrow(_cell(k), RESULT)
 
 
-def _merged(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id", "slot").orderBy(F.desc("score"), "vec_id")
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("slot").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of every query. Both inputs have
-    vec_id and v as integer_points() gives them; the query set may be of any size: it is taken
-    in blocks of about `block` rows, one broadcast each."""
-    spark = candidates.sparkSession
-    sc = spark.sparkContext
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        got = sorted({(r["vec_id"], tuple(r["v"])) for r in own.collect()})
-        if not got:
-            continue
-        dims = np.array([len(v) for _, v in got])
-        values = {int(d): np.array([v for _, v in got if len(v) == d]).reshape(-1, int(d)) for d in np.unique(dims)}
-        shared = sc.broadcast((np.array([i for i, _ in got], np.int64), values, dims))
-        # the starting kth scores: the queries' own block as a shard of candidates
-        floor: dict[int, tuple] = {}
-        for d, rows in values.items():
-            tree = Tree(np.array([i for i, v in got if len(v) == d], np.int64)[:TREE_ROWS], rows[:TREE_ROWS])
-            mine = np.flatnonzero(dims == d)
-            exact = tree.top**2 * d < 2.0**52
-            for a in range(0, len(mine), 256):
-                bound = tree.bounds(rows[a : a + 256], exact)
-                for j, i in enumerate(mine[a : a + 256]):
-                    best: list[tuple] = []
-                    tree.search(rows[a + j], int(got[i][0]), bound[j], best, k, exact)
-                    if len(best) >= k:
-                        floor[int(i)] = best[0]
-        found = _merged(candidates.mapInPandas(_searcher(shared, sc.broadcast(floor), k), SCHEMA), k)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = _merged(spark.createDataFrame([], SCHEMA), k)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK_ROWS, shard: int = SHARD_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates of every query. Both inputs have vec_id and
+    v as integer_points() gives them."""
+    sc = candidates.sparkSession.sparkContext
+    rows = cut(candidates.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "candidates")
+    asked = cut(queries.select("vec_id", "v").distinct().withColumn("slot", F.monotonically_increasing_id()), "queries")
+    n, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n_queries = asked.count()
+    fits = max(1, CELL_BYTES // (8 * max(longest or 1, 1)))
+    shards = max(1, -(-n // min(shard, fits)), min(-(-n // TREE_ROWS), sc.defaultParallelism))
+    blocks = max(1, -(-n_queries // min(block, fits)))
+    asked = asked.withColumn("block", F.pmod("slot", F.lit(blocks)))
+    nothing = {"floor_score": F.lit(None).cast("long"), "floor_id": F.lit(None).cast("long")}
+    pilot = rows.filter(F.pmod(F.xxhash64("row"), F.lit(-(-n // min(TREE_ROWS, fits)) or 1)) == 0)
+
+    def each(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+    first = _met(
+        pilot.select("vec_id", "v", F.lit(0).cast("long").alias("shard"), each(blocks).alias("block")),
+        asked.select("vec_id", "v", "slot", "block", F.lit(0).cast("long").alias("shard")).withColumns(nothing),
+        blocks,
+        k,
+    )
+    floors = _ranked(first, k).filter((F.col("rank") == k) & (F.abs("score") < 1 << 62)).select("slot", F.col("score").alias("floor_score"), F.col("vec_id").alias("floor_id"))
+    asked = cut(asked.join(floors, "slot", "left"), "asked")
+    found = _met(
+        rows.select("vec_id", "v", F.pmod("row", F.lit(shards)).alias("shard"), each(blocks).alias("block")),
+        asked.withColumn("shard", each(shards)),
+        shards * blocks,
+        k,
+    )
+    best = cut(_ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top-k")
+    drop(rows, asked)
+    return best
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
