@@ -16,11 +16,16 @@ pair is left out only if a filter proves it unlinked, so components are exact.
 Frequent tokens are counted over the whole corpus. In a group of edited copies the shared
 tokens are frequent, so a member's own tokens come first in its prefix, and members too far
 from each other fail the positional filter without being paired. What is broadcast is
-bounded: HOT_TOKENS tokens and a BLOOM_BITS filter; shuffled postings travel as packed
-arrays by token range.
-
-Defined results: null or blank text has an empty set and is its own component; rows that repeat
-or share a doc_id count one by one; the component is the smallest non-null doc_id in it, null
+bounded: HOT_TOKENS tokens and a BLOOM_BITS filter; so beyond about HOT_DF * HOT_TOKENS tokens
+the floor from which a token counts as frequent rises in proportion to the corpus, and tokens
+below it stand in hash order. Shuffled postings travel as packed arrays by token range, the
+number of ranges growing with the corpus; those of a token in more than SALT_DF documents are
+dealt to several groups by node. Texts are parsed anew in each pass, as their sets are larger
+than themselves. Every table written on the way is deleted when the last step that reads it is
+done.
+
+Defined results: null or blank text has an empty set and is its own component; very long texts
+count whole; rows that repeat or share a doc_id count one by one; the component is the smallest non-null doc_id in it, null
 only if it has none; extra columns are ignored; an empty table gives an empty result. Sets are
 compared by 64-bit hashes of shingles and of sets.
 """
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix64, release, small_batches, table, tidy, utf8, word_hashes
+from .common import U, cut, drop, mix64, release, small_batches, table, tidy, utf8, word_hashes
 from .components import connected_components
 
 N = 5
@@ -43,9 +48,11 @@ NUM, DEN = 3, 4  # threshold 0.75
 HOT_TOKENS = 1 << 22  # bound on tokens known as frequent
 EARLY = 4  # early common tokens asked for before a pair is looked at
 HOT_DF = 32  # least document frequency of one
+SALT_DF = 1 << 12  # postings of one token aimed at for one group
 BLOOM_BITS = 1 << 24
 FLUSH = 1 << 18  # tokens packed together by a task
 RANGE_TOKENS = 1 << 20  # tokens aimed at for one range
+RANGE_BITS = 10  # least number of ranges
 
 SKETCH = [f"b{i}" for i in range(8)]  # columns of a set's parity sketch, 64 bits each
 
@@ -94,9 +101,13 @@ def other_prefix(s: np.ndarray, order: int) -> np.ndarray:
     return np.unique(mix64(k).view(np.int64).astype(np.int32))
 
 
-def _by_range(tokens: np.ndarray, shift: int, columns: list[np.ndarray]) -> Iterator[tuple]:
-    """Sorted tokens cut where their top bits change: (range, packed columns)."""
-    r = (tokens >> U(shift)).astype(np.int64)
+def range_shift(tokens: int) -> int:
+    """How far tokens are shifted to give their range, for about RANGE_TOKENS tokens a range."""
+    return 64 - max(RANGE_BITS, (tokens // RANGE_TOKENS + 1).bit_length())
+
+
+def _by_range(r: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple]:
+    """Columns, sorted by r, cut where r changes: (r, packed columns)."""
     cuts = np.flatnonzero(np.diff(r)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(r)], strict=True):
         if b > a:
@@ -119,12 +130,11 @@ def set_table(docs: DataFrame) -> DataFrame:
     return cut(got.select("doc_id", "text_hash", "m.n", "m.node", *(f"m.{b}" for b in SKETCH)), "sets")
 
 
-def frequent_tokens(docs: DataFrame, total: int) -> np.ndarray:
-    """Tokens in more documents than a floor that keeps their number within HOT_TOKENS; sorted.
-    Counted over all documents."""
+def frequent_tokens(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in more documents than a floor that keeps their number within HOT_TOKENS, sorted, and
+    in how many groups each one's postings are dealt. Counted over all documents."""
     floor = max(HOT_DF, total // HOT_TOKENS + 1)
-    bits = max(8, min(20, (total // RANGE_TOKENS + 1).bit_length()))
-    shift = 64 - bits
+    shift = U(range_shift(total))
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -134,8 +144,8 @@ def frequent_tokens(docs: DataFrame, total: int) -> np.ndarray:
             t, c = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             once, many = c == 1, c > 1
-            rows = [(r, x, b"") for r, x in _by_range(t[once], shift, [t[once]])]
-            rows += [(r, x, y) for r, x, y in _by_range(t[many], shift, [t[many], c[many].astype(np.int64)])]
+            rows = [(r, x, b"") for r, x in _by_range(t[once] >> shift, [t[once]])]
+            rows += _by_range(t[many] >> shift, [t[many], c[many].astype(np.int64)])
             return pd.DataFrame(rows, columns=["r", "t", "c"])
 
         for p in parts:
@@ -159,21 +169,27 @@ def frequent_tokens(docs: DataFrame, total: int) -> np.ndarray:
         t, c = t[order], c[order]
         first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         df = np.add.reduceat(c, first)
-        return pd.DataFrame({"t": t[first][df > floor].view(np.int64)})
+        hot = df > floor
+        return pd.DataFrame({"t": t[first][hot].view(np.int64), "df": df[hot]})
 
-    hot = docs.select("text").mapInPandas(pack, "r long, t binary, c binary").groupBy("r").applyInPandas(count, "t long")
-    return np.sort(hot.toArrow()["t"].to_numpy().astype(np.int64).view(U))
+    hot = docs.select("text").mapInPandas(pack, "r long, t binary, c binary").groupBy("r").applyInPandas(count, "t long, df long")
+    got = hot.toArrow()
+    t = got["t"].to_numpy().astype(np.int64).view(U)
+    groups = (got["df"].to_numpy() // SALT_DF + 1).astype(np.int32)
+    order = np.argsort(t)
+    return t[order], groups[order]
 
 
-def postings(docs: DataFrame, hot: np.ndarray, total: int) -> DataFrame:
-    """token, node, n, pos: the prefixes under the first order, of tokens in two nodes or more."""
+def postings(docs: DataFrame, hot: np.ndarray, groups: np.ndarray, total: int) -> DataFrame:
+    """token, node, n, pos: the prefixes under the first order, of tokens in two nodes or more (of
+    tokens whose postings are dealt to several groups, all)."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(hot)
-    bits = max(8, min(20, (total // 4 // RANGE_TOKENS + 1).bit_length()))
-    shift = 64 - bits
+    several = groups > 1
+    shared = sc.broadcast((hot, hot[several], groups[several]))
+    shift = U(range_shift(total // 4))
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot = shared.value
+        hot, spread, deal = shared.value
         held: list[tuple[np.ndarray, int, int]] = []
         size = 0
 
@@ -184,9 +200,15 @@ def postings(docs: DataFrame, hot: np.ndarray, total: int) -> DataFrame:
             n = np.repeat(np.array([x[2] for x in held], np.int32), length)
             pos = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
             held.clear()
-            order = np.argsort(t, kind="stable")
+            r = (t >> shift).astype(np.int64)
+            if len(spread):  # groups of their own below 0, so that they never mix with whole tokens
+                at = np.minimum(np.searchsorted(spread, t), len(spread) - 1)
+                own = np.flatnonzero(spread[at] == t)
+                part = node[own].view(U) % deal[at[own]].astype(U)
+                r[own] = -1 - (mix64(t[own] + part) >> U(2)).astype(np.int64)
+            order = np.lexsort((t, r))
             columns = [t[order], node[order], n[order], pos[order].astype(np.int32)]
-            return pd.DataFrame(list(_by_range(columns[0], shift, columns)), columns=["r", "t", "d", "n", "p"])
+            return pd.DataFrame(list(_by_range(r[order], columns)), columns=["r", "t", "d", "n", "p"])
 
         seen: set[int] = set()
         for p in parts:
@@ -220,7 +242,7 @@ def postings(docs: DataFrame, hot: np.ndarray, total: int) -> DataFrame:
         own = np.append(True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]))
         t, d, n, pos = t[own], d[own], n[own], pos[own]
         near = t[1:] == t[:-1]
-        keep = np.append(near, False) | np.append(False, near)
+        keep = np.append(near, False) | np.append(False, near) | (p["r"][0].as_py() < 0)
         return pa.table({"token": t[keep].view(np.int64), "node": d[keep], "n": n[keep], "pos": pos[keep]})
 
     packed = docs.select("text").mapInPandas(pack, "r long, t binary, d binary, n binary, p binary")
@@ -260,8 +282,11 @@ def leader_pairs(post: DataFrame) -> DataFrame:
     weight = post.join(shared, "token").groupBy("node", "n").agg(F.sum("df").alias("w"))
     weight = cut(weight.select("node", (F.col("w") / F.col("n")).alias("w")), "node-weights")
     rated = cut(post.join(weight, "node"), "rated")
-    lead = cut(rated.groupBy("token").agg(F.max(F.struct("w", "node", "n", "pos")).alias("l")), "leaders").select("token", "l.*")
-    return cut(_met(rated, lead, F.col("a.node") != F.col("b.node")), "leader-pairs")
+    drop(shared, weight)
+    lead = cut(rated.groupBy("token").agg(F.max(F.struct("w", "node", "n", "pos")).alias("l")), "leaders")
+    pairs = cut(_met(rated, lead.select("token", "l.*"), F.col("a.node") != F.col("b.node")), "leader-pairs")
+    drop(rated, lead)
+    return pairs
 
 
 def _near_sketches() -> Column:
@@ -276,14 +301,18 @@ def _near_sketches() -> Column:
 def crossing_pairs(post: DataFrame, comps: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different components that share a posted token, without those tried before and
     those whose sketches differ too much."""
-    post = post.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    post = cut(post, "labelled")
-    mixed = post.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
-    post = cut(post.join(cut(mixed, "mixed"), "token"), "mixed-postings")
+    labelled = cut(post.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
+    mixed = cut(mixed, "mixed")
+    kept = cut(labelled.join(mixed, "token"), "mixed-postings")
+    drop(labelled, mixed)
     bits = cut(sets.groupBy("node").agg(*(F.first(b).alias(b) for b in SKETCH)), "sketches")
-    post = cut(post.join(bits, "node"), "sketched-postings")
-    met = _met(post, post, (F.col("a.comp") < F.col("b.comp")) & _near_sketches())
-    return cut(met.join(tried, ["u", "v"], "left_anti"), "crossing")
+    sketched = cut(kept.join(bits, "node"), "sketched-postings")
+    drop(kept, bits)
+    met = _met(sketched, sketched, (F.col("a.comp") < F.col("b.comp")) & _near_sketches())
+    crossing = cut(met.join(tried, ["u", "v"], "left_anti"), "crossing")
+    drop(sketched)
+    return crossing
 
 
 def full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -360,35 +389,77 @@ def verified(docs: DataFrame, measured: DataFrame, pairs: DataFrame) -> DataFram
     common = F.size(F.array_intersect("u_s", "v_s"))
     union = F.size("u_s") + F.size("v_s") - F.col("c")
     links = cut(both.withColumn("c", common).filter(DEN * F.col("c") >= NUM * union).select("u", "v"), "links")
+    drop(nodes, passed)
     release(sets, docs.sparkSession)
     return links
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n (set size), comp for every row of docs: rows with a word are linked, over
+    any number of steps, if and only if their comp is equal."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select("doc_id", "text")
     sets = set_table(docs)
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     if total:
-        hot = frequent_tokens(docs, total)
-        release(None, docs.sparkSession)
-        post = postings(docs, hot, total)
-        release(None, docs.sparkSession)
+        hot, groups = frequent_tokens(docs, total)
+        release(None, spark)
+        post = postings(docs, hot, groups, total)
+        release(None, spark)
         tried = leader_pairs(post)
         links = verified(docs, sets, tried)
         fresh = crossing_pairs(post, connected_components(links), tried, sets)
-        release(post, docs.sparkSession)
+        drop(tried)
+        release(post, spark)
         if not fresh.isEmpty():
             links = links.unionByName(verified(docs, sets, fresh))
+        drop(fresh)
         comps = cut(connected_components(links), "components")
+        release(links, spark)
     else:
         comps = sets.limit(0).select("node", F.col("node").alias("comp"))
-    named = sets.filter("n > 0").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = cut(named.select("doc_id", "n", "comp"), "named")
-    least = cut(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
-    out = named.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return sets.join(comps, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("comp", "node").alias("comp"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    rows = cut(linked_rows(docs).select("doc_id", "n", "comp"), "named")
+    least = cut(rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
+    out = rows.filter("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: All pairs that share a shingle, and all paths; for small tables.
+ORACLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), w AS (
+  SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d
+), g AS (
+  SELECT rid, concat_ws(chr(1), w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS s,
+         lead(w, 4) OVER o AS fifth
+  FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)
+), s AS (
+  SELECT DISTINCT rid, s FROM g WHERE fifth IS NOT NULL
+  UNION ALL SELECT rid, array_to_string(ws, chr(1)) FROM d WHERE len(ws) BETWEEN 1 AND 4
+), n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+i AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL
+), l AS (
+  SELECT a, b FROM i JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (
+  SELECT rid AS u, rid AS v FROM d UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u
+), least_id AS (SELECT u, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.v GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM d JOIN least_id ON least_id.u = d.rid LEFT JOIN n ON n.rid = d.rid
+"""
