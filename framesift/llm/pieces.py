@@ -19,7 +19,8 @@ Weights: a unigram model's scores, or -log(rank + 10) for a merge-ranked model,
 
 Defined results: null text gives null pieces and decodes to null; empty text gives no pieces; a
 null key counts as a key of its own; repeated rows get equal segmentations; extra columns pass
-through, one named piece_ids is replaced; an empty table gives an empty result.
+through, one named piece_ids or decoded is replaced; very long texts are cut up whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, mix64, small_batches, table, tidy
+from .common import U, mix64, small_batches, table, tidy, unused
 
 SHARPNESS = 1.0
 SEED = 20_240_607
@@ -361,8 +362,9 @@ class PieceCodec:
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with piece_ids (sampled, seeded by doc_id) and `decoded`, the text they spell."""
     codec = PieceCodec(docs.sparkSession, path)
-    got = docs.withColumn("_both", codec.both(F.col("doc_id"), F.col("text")))
-    return got.withColumns({"piece_ids": F.col("_both.piece_ids"), "decoded": F.col("_both.decoded")}).drop("_both")
+    both = unused(docs, "encoded")
+    got = docs.withColumn(both, codec.both(F.col("doc_id"), F.col("text")))
+    return got.withColumns({c: F.col(f"{both}.{c}") for c in ("piece_ids", "decoded")}).drop(both)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ fit a row. DataFrame functions only.
 Defined results: rows with a null pair or turn are left out; of rows with the same pair and
 turn the least (role, text) counts; null role or text compare as equal to null and render as
 empty; equal sides are all prompt, with empty completions; a side without rows gives only the
-other's completion; extra columns are ignored; empty tables give an empty result.
+other's completion; very long texts are rendered whole; extra columns are ignored; empty tables
+give an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
@@ -44,7 +45,7 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     met = both.groupBy("pair_id", "turn").agg(
         F.min(F.when(F.col("side") == 0, F.col("t"))).alias("c"), F.min(F.when(F.col("side") == 1, F.col("t"))).alias("r")
     )
-    met = met.withColumn("same", F.col("c").eqNullSafe(F.col("r")))
+    met = cut(met.withColumn("same", F.col("c").eqNullSafe(F.col("r"))), "met-turns")
     split = met.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("split"))
     rows = met.join(split, "pair_id")
     shared = F.col("split").isNull() | (F.col("turn") < F.col("split"))
@@ -108,41 +109,25 @@ def stale_reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     first user turn, or nothing. Conversations without an assistant turn give no pair."""
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").filter("pair_id is not null and turn is not null")
     spoken = F.col("role") == TRAINED_ROLE
-    last = turns.filter(spoken).groupBy("pair_id").agg(F.max("turn").alias("last"))
-    chosen = turns.join(last, "pair_id").filter("turn <= last")
     order = F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))
-    found = chosen.groupBy("pair_id", "last").agg(
-        F.max(F.when(spoken & (F.col("turn") < F.col("last")), order)).alias("before"),
-        F.min(F.when(F.col("role") == "user", order)).alias("asked"),
-    )
-    reply = found.select(
-        "pair_id", F.col("last").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.coalesce("before.text", "asked.text", F.lit("")).alias("text")
+    ends = turns.groupBy("pair_id").agg(F.max(F.when(spoken, F.col("turn"))).alias("last"), F.min(F.when(F.col("role") == "user", order)).alias("asked"))
+    chosen = cut(turns.join(ends.select("pair_id", "last"), "pair_id").filter("turn <= last"), "chosen-turns")
+    before = chosen.filter(spoken & (F.col("turn") < F.col("last"))).groupBy("pair_id").agg(F.max(order).alias("before"))
+    asked = F.when(F.col("asked.turn") <= F.col("last"), F.col("asked.text"))
+    reply = (
+        ends.filter("last is not null")
+        .join(before, "pair_id", "left")
+        .select("pair_id", F.col("last").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.coalesce("before.text", asked, F.lit("")).alias("text"))
     )
     rejected = chosen.filter("turn < last").drop("last").unionByName(reply)
     return chosen.drop("last"), rejected
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a pair: turns, characters and trained characters of each part, and a digest of
-    every rendered turn with its part and mask."""
-    s = preference_segments(*stale_reply_pairs(table(spark, sf_dir, "conversations")))
-    spelled = F.concat_ws("|", "part", F.col("turn").cast("string"), F.col("mask_start").cast("string"), F.col("mask_end").cast("string"), "rendered")
-    digest = F.conv(F.substring(F.md5(spelled), 1, 8), 16, 10).cast("long")
-    aggs = []
-    for p in ("prompt", "chosen", "rejected"):
-        own = F.col("part") == p
-        aggs.append(F.sum(F.when(own, 1).otherwise(0)).cast("long").alias(f"{p}_turns"))
-        aggs.append(F.sum(F.when(own, F.length("rendered")).otherwise(0)).cast("long").alias(f"{p}_chars"))
-        aggs.append(F.sum(F.when(own, F.col("mask_end") - F.col("mask_start")).otherwise(0)).cast("long").alias(f"{p}_trained"))
-    return s.groupBy("pair_id").agg(*aggs, F.sum(digest).alias("digest"))
-
-
-_PARTS = ", ".join(
-    f"sum(CASE WHEN part = '{p}' THEN 1 ELSE 0 END)::BIGINT AS {p}_turns, "
-    f"sum(CASE WHEN part = '{p}' THEN length(rendered) ELSE 0 END)::BIGINT AS {p}_chars, "
-    f"sum(CASE WHEN part = '{p}' THEN mask_end - mask_start ELSE 0 END)::BIGINT AS {p}_trained"
-    for p in ("prompt", "chosen", "rejected")
-)
+    """Every rendered turn of every pair, with its part and mask: in order of turns, the prompt and
+    both completions as they are fed to training."""
+    return preference_segments(*stale_reply_pairs(table(spark, sf_dir, "conversations")))
+
 
 ORACLE = f"""
 WITH t AS (
@@ -168,14 +153,12 @@ WITH t AS (
   UNION ALL SELECT pair_id, turn, 'chosen', c_role, c_text FROM p WHERE NOT shared
   UNION ALL SELECT pair_id, turn, 'rejected', r_role, r_text FROM p WHERE NOT shared
 ), g AS (
-  SELECT pair_id, turn, part,
+  SELECT pair_id, turn, part, role,
          '{OPEN}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{CLOSE}' || chr(10) AS rendered,
-         length('{OPEN}' || coalesce(role, '') || chr(10)) AS mask_start,
+         length('{OPEN}' || coalesce(role, '') || chr(10))::INTEGER AS mask_start,
          length('{OPEN}' || coalesce(role, '') || chr(10))
            + CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(coalesce(text, '') || '{CLOSE}') ELSE 0 END AS mask_end
   FROM s
 )
-SELECT pair_id, {_PARTS},
-       sum(('0x' || substr(md5(concat_ws('|', part, turn::VARCHAR, mask_start::VARCHAR, mask_end::VARCHAR, rendered)), 1, 8))::BIGINT)::BIGINT AS digest
-FROM g GROUP BY pair_id
+SELECT pair_id, part, turn, role, rendered, mask_start, mask_end::INTEGER AS mask_end FROM g
 """

@@ -11,7 +11,7 @@ at most BUCKETS rows a task); the second joins the bounded weight table by broad
 by row, also map-side. Texts are never shuffled.
 
 Defined results: null or empty text has no words and fails the base rules; rows that repeat
-are scored each for itself; a null doc_id is kept as null; extra columns are ignored; without
+are scored each for itself; a null doc_id is kept as null; very long texts count whole; extra columns are ignored; without
 trusted documents the score is null and the base rules alone decide; an empty table gives an
 empty result.
 """
@@ -153,3 +153,37 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = bucket_weights(docs, trusted_sample(table(spark, sf_dir, "labels")))
     return score_rules(docs, weights)
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the operator's result that SQL can express: all but the verdict."""
+    carried = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return query(spark, sf_dir).select(*carried)
+
+
+BASE_ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)
+), g AS (
+  SELECT rid, i, concat_ws(chr(1), w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS g,
+         lead(w, 4) OVER o AS fifth
+  FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)
+), again AS (
+  SELECT rid, i FROM g WHERE fifth IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, g) > 1
+), covered AS (
+  SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + 5)) FROM again) GROUP BY rid
+), words AS (
+  SELECT rid, count(*) AS n, sum(length(w)) AS chars FROM w GROUP BY rid
+), lines AS (
+  SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), f AS (
+  SELECT doc_id, coalesce(words.n, 0)::BIGINT AS n_words, coalesce(chars, 0)::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN lines USING (rid) LEFT JOIN words USING (rid) LEFT JOIN covered USING (rid)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f
+"""

@@ -30,10 +30,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_rollup.query,
     "op9_mixing": mixing.query,
     "op10_chat_formatting": preference.query,
+    "quality_base_rules": quality_rules.base_query,
+    "mixing_targets": mixing.targets_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": kdtree.ORACLE,
-    "op8_token_counts": token_rollup.ORACLE,
+    "op6_ngram_jaccard_join": ngram_join.ORACLE,
     "op10_chat_formatting": preference.ORACLE,
+    "quality_base_rules": quality_rules.BASE_ORACLE,
+    "mixing_targets": mixing.TARGETS_ORACLE,
 }

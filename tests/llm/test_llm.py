@@ -190,6 +190,79 @@ def test_dual_coordinate_descent_separates():
     assert all((w[r].sum() + b > 0) == y for r, y in zip(rows, [1, 1, 0, 0], strict=True))
 
 
+def toy_training(seed=11, n=300, d=40):
+    rng = np.random.default_rng(seed)
+    y = (rng.random(n) < 0.3).astype(np.int64)
+    lists = [np.flatnonzero(rng.random(d) < np.where(np.arange(d) < 8, 0.15 + 0.5 * k, 0.2)).astype(np.int32) for k in y]
+    return nbfeatures.Training(lists, y, np.arange(d, dtype=np.int32), rng.normal(size=d).astype(np.float32))
+
+
+def dense(t):
+    x = np.zeros((len(t.y), len(t.scale)))
+    for i, k in enumerate(t.lists):
+        x[i, k] = t.scale[k]
+    return x
+
+
+def test_hinge_loss_is_minimal():
+    """The primal loss is convex, so no step in any direction makes it smaller if it is minimal; and
+    it is near the dual, which bounds it from below, for multipliers found by projected ascent."""
+    t = toy_training()
+    w, b = quality_classifier.dual_coordinate_descent(t.lists, t.scale, t.y, epochs=2000)
+    x, sign, cost = np.column_stack([dense(t), np.ones(len(t.y))]), np.where(t.y == 1, 1.0, -1.0), quality_classifier.COST
+
+    def primal(v):
+        return v @ v / 2 + cost * np.maximum(0, 1 - sign * (x @ v)).sum()
+
+    v = np.append(w, b)
+    rng = np.random.default_rng(1)
+    for step in (1e-3, 1e-2, 0.1):
+        assert all(primal(v + step * rng.normal(size=len(v))) >= primal(v) - 1e-6 for _ in range(300))
+    z = sign[:, None] * x
+    a, rate = np.zeros(len(t.y)), 1 / np.linalg.norm(z, 2) ** 2
+    for _ in range(20_000):
+        a = np.clip(a + rate * (1 - z @ (z.T @ a)), 0, cost)
+    dual = a.sum() - (z.T @ a) @ (z.T @ a) / 2
+    assert 0 <= primal(v) - dual + 1e-9 < 1e-2 * dual
+
+
+def test_logistic_gradient_is_near_zero():
+    t = toy_training()
+    model = toxicity.fit_logistic(t)
+    w = model.weights[: len(t.scale)] / t.scale
+    x = dense(t)
+    e = 1 / (1 + np.exp(-(x @ w + model.bias))) - t.y
+    zero = np.abs(x.T @ (t.y.mean() - t.y)).max() / len(t.y)  # at the start
+    assert np.abs(x.T @ e / len(t.y) + toxicity.PENALTY * w).max() < 0.1 * zero and abs(e.mean()) < 0.02
+
+
+@pytest.mark.parametrize("m", [toxicity, quality_classifier])
+def test_scores_are_those_of_the_model(spark, m):
+    """Score by hand, from the weights and all n-grams of whole texts."""
+    rows = made_documents(300)
+    df = docs(spark, [(i, t, "s") for i, t, _ in rows])
+    model = m.fit(df, spark.createDataFrame([(i, y, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in (m.score_toxicity if m is toxicity else m.score_quality)(df, model).collect()}
+    for i, t, _ in rows[:40]:
+        s = f" {t.lower()} " if m is toxicity else t
+        grams = {b for n in m.ORDERS for b in (nbfeatures.present(s[k : k + n], lambda x, n=n: nbfeatures.char_ngrams(x, (n,))).tolist()[0] for k in range(len(s) - n + 1))}
+        if m is quality_classifier:
+            grams |= set(nbfeatures.repeat_ngrams(t, m.REPEATS).tolist())
+        z = model.slope * (model.bias + sum(float(model.weights[g]) for g in grams)) + model.shift
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+@pytest.mark.parametrize("m", [toxicity, quality_classifier])
+def test_empty_tables_and_ties(spark, m):
+    none = docs(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    score = m.score_toxicity if m is toxicity else m.score_quality
+    assert score(none, m.fit(none, labels)).count() == 0
+    some = docs(spark, odd_rows() + [(5, "one two", "b")])
+    got = score(some, m.fit(some, labels)).collect()
+    assert len(got) == 9 and len({r["score"] for r in got}) == 1
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -204,15 +277,40 @@ def brute_phrases(sample: bytes, text: bytes) -> int:
     return n
 
 
-def test_cross_parsing_brute_force():
+def test_cross_parsing_brute_force(monkeypatch):
     rng = random.Random(5)
-    samples = {"x": bytes(rng.choices(b"abcd", k=300)), "y": bytes(rng.choices(b"abef", k=200))}
+    samples = {"x": bytes(rng.choices(b"abcd", k=3000)), "y": bytes(rng.choices(b"abef", k=2000))}
     p = language_id.Parser(samples)
-    texts = [np.frombuffer(bytes(rng.choices(b"abcdefz", k=k)), np.uint8) for k in (1, 7, 100, 256)]
-    got = p.phrases(texts)
-    for i, t in enumerate(texts):
-        for j, x in enumerate(p.langs):
-            assert got[i, j] == brute_phrases(samples[x], t.tobytes())
+    texts = [bytes(rng.choices(b"abcdefz", k=k)) for k in (0, 1, 7, 100, 256, 257, 512, 600, 5000)]
+    # phrases over many blocks: passages of the samples, and all of one twice
+    texts += [samples["x"][100:2900], samples["y"][:1999] + b"z" + samples["x"][:700], samples["x"] * 2, b"z" * 700]
+    want = [[brute_phrases(samples[x], t) for x in p.langs] for t in texts]
+    count, state = p.phrases([np.frombuffer(t, np.uint8) for t in texts])
+    assert (count + (state != 0)).tolist() == want
+    # the same by parts, each going on from the state before it
+    for t, w in zip(texts, want, strict=True):
+        total, state = np.zeros((1, 2), np.int64), None
+        for at in range(0, len(t), 300):
+            n, state = p.phrases([np.frombuffer(t[at : at + 300], np.uint8)], state)
+            total += n
+        assert state is None or (total + (state != 0))[0].tolist() == w
+    words = [" ".join("".join(rng.choices("abcd", k=5)) for _ in range(300)), "abcd " * 9]
+    whole = p.predict(words)
+    monkeypatch.setattr(language_id, "CHUNK", 100)
+    assert p.predict(words) == whole
+
+
+def test_every_language_is_learned(spark):
+    """Long texts, very short ones, rows that share an id, and equal rows."""
+    rows = [(i, " ".join(f"lang{w % 7} u{w}" for w in range(i, i + 6000)), "long") for i in range(6)]
+    rows += [(i, f"tiny{i % 9}", "tiny") for i in range(3000)]
+    rows += [(10, f"sameid text{i}", "same id") for i in range(5000)] + [(11, "alike", "alike")] * 3000
+    rows += [(None, "nobody", "no id"), (1, None, "no text"), (1, "", "empty"), (1, "lost", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {(r["lang"]) for r in d.filter(language_id.fold(F.col("doc_id"), 5) != 0).select("lang").distinct().collect()}
+    got = language_id.learn_samples(d)
+    assert set(got) == learned - {"no text", "empty", None} and {"long", "tiny", "same id", "alike"} <= set(got)
+    assert len(got["long"]) > 10_000 and got["alike"] == b"alike " and len(got["tiny"]) < 200
 
 
 def test_language_edges(spark):
@@ -240,8 +338,8 @@ def test_top_k_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>")
     p = kdtree.integer_points(df)
     ints = {i: [math.floor(1024 * a) for a in x] for i, x in rows} | {600: [1024, 2048], 601: [3072, 1024]}
-    for block in (4096, 40):
-        got = sorted(tuple(r) for r in kdtree.top_k(p, p, 10, block).collect())
+    for block, shard in ((4096, 4096), (40, 30)):
+        got = sorted(tuple(r) for r in kdtree.top_k(p, p, 10, block, shard).collect())
         want = []
         for q, a in ints.items():
             s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ints.items() if i != q and len(a) == len(b))
@@ -375,17 +473,70 @@ def test_rollup(spark):
         return sorted((x["source"] or "", x["n_docs"], x["n_tokens"]) for x in r.totals().collect())
 
     assert totals() == [("", 2, 0), ("s", 1, 10)]
+    before = r.totals()
     r.compact()
-    assert totals() == [("", 2, 0), ("s", 1, 10)]
+    assert totals() == [("", 2, 0), ("s", 1, 10)] and before.count() == 2
     assert not r.commit("b2", token_rollup.changes(df, words, "v1", 1))
     r.commit("b4", token_rollup.changes(df.filter("doc_id = 3"), words, "v1", 1))
     assert totals() == [("", 2, 0), ("s", 1, 10), ("t", 1, 1)]
+    r.vacuum()
+    assert totals() == [("", 2, 0), ("s", 1, 10), ("t", 1, 1)]
+    assert not r.commit("b1", token_rollup.changes(df, words, "v1", 1))
+    r.compact()
+    r.vacuum()
+    assert totals() == [("", 2, 0), ("s", 1, 10), ("t", 1, 1)] and not r.commit("b4", token_rollup.changes(df, words, "v1", 1))
     with pytest.raises(ValueError):
         r.commit("../x", df)
     counts = [x[0] for x in df.select(token_rollup.bpe_tokens(F.col("text"))).collect()]
     assert counts[0] == 3 and counts[1] == 0
 
 
+def test_batch_committed_during_a_compaction_counts_once(spark, monkeypatch):
+    r = token_rollup.TokenRollup(spark, scratch_path(spark, "test-race"))
+    one = token_rollup.changes(docs(spark, [(1, "a b", "s")]), token_rollup.word_tokens(F.col("text")), "v1", 1)
+    r.commit("b1", one)
+    listed = token_rollup.TokenRollup._sum
+
+    def late(self, snapshot, batches):
+        monkeypatch.setattr(token_rollup.TokenRollup, "_sum", listed)
+        assert self.commit("b2", one)
+        return listed(self, snapshot, batches)
+
+    monkeypatch.setattr(token_rollup.TokenRollup, "_sum", late)
+    r.compact()
+    assert [(x["n_docs"], x["n_tokens"]) for x in r.totals().collect()] == [(2, 4)]
+    assert not r.commit("b1", one) and not r.commit("b2", one)
+
+
+def bpe():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return lambda text: len(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_bpe_counts_of_long_runs(spark):
+    texts = ["a" + " " * 5000 + "b c", "x" + "\n" * 4097 + "y  ", " " * 9000, "\t" * 5000 + " z", "q" + " " * 1_000_000 + "r", "it's é漢<|endoftext|>\n\n  d"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(token_rollup.bpe_tokens(F.col("text"))).collect()
+    assert [r[0] for r in got] == list(map(bpe(), texts))
+
+
+def test_token_count_query(spark):
+    """Words and bytes against SQL, BPE counts against another implementation of the tokenizer."""
+    got = token_rollup.query(spark, SF).collect()
+    c = duckdb.connect()
+    c.execute(f"create view documents as from '{SF}/documents.parquet'")
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert key(r for r in got if r["tokenizer_version"] != "bpe-50k") == key(c.execute(token_rollup.WORDS_AND_BYTES).fetchall())
+    count, want = bpe(), collections.Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        if len(WORD.findall(r["text"] or "")) >= 10:
+            want[r["source"], r["lang"]] += count(r["text"])
+    assert {(r["source"], r["lang"]): r["n_tokens"] for r in got if r["tokenizer_version"] == "bpe-50k"} == want
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -429,10 +580,24 @@ def test_mixing(spark):
     assert mixing.mix(mixing.sized_documents(df.limit(0))).count() == 0
 
 
+def test_rows_that_share_an_id_are_dealt_to_bounded_groups(spark):
+    rows = [(None, "x y z", "a")] * 2500 + [(7, "u v", "a")] * 500 + [(i, "w " * (i % 9 + 1), "b") for i in range(300)]
+    df = docs(spark, rows).repartition(3)
+    numbered = mixing.number_equals(df.select(F.coalesce("doc_id", F.lit(0)).alias("c"), F.monotonically_increasing_id().alias("row")))
+    found = numbered.groupBy("c").agg(F.count("*").alias("n"), F.min("nth").alias("lo"), F.max("nth").alias("hi"), F.countDistinct("nth").alias("d"))
+    assert all((r["lo"], r["hi"], r["d"]) == (0, r["n"] - 1, r["n"]) for r in found.collect())
+    got = mixing.mix(mixing.sized_documents(df), group_docs=100, fan_in=3).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= 9
+
+
 def test_pivot_keeps_expected_copies():
     n, hits = 4000, 0
     for seed in range(n):
-        p, last = mixing.pivot(np.array([seed, seed + 10**6], np.uint64), np.array([3.0, 5.0]), np.array([0.5, 0.3]))
+        draws = np.random.default_rng(seed).random(2)
+        p, last = mixing.pivot(draws, np.array([3.0, 5.0]), np.array([0.5, 0.3]))
         assert 3 * p[0] + 5 * p[1] == pytest.approx(3.0)
         hits += p[0]
     assert hits / n == pytest.approx(0.5, abs=0.03)
@@ -465,7 +630,7 @@ def test_preference(spark):
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         c.execute(f"create view {t} as from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     q = c.execute(queries.ORACLE_SQL[name])
@@ -475,6 +640,92 @@ def test_same_rows_as_sql(spark, name):
     assert sorted(tuple(str(v) for v in r) for r in df.collect()) == want
 
 
+CLASH = ["_id", "_score", "copies", "_copy", "_p", "_both", "piece_ids", "target", "score", "encoded", "predicted", "row", "number", "nth", "comp", "n", "quality_score", "toxic_score", "decoded", "held_out", "lang_pred", "size", "source_size", "kept_id", "row_id", "node", "text_hash", "slot", "block"]
+
+
+def clashing(spark):
+    rows = [(i, f"some words of text number {i % 40} here", "en", "ab"[i % 2], 3, *["own"] * len(CLASH)) for i in range(120)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH))
+
+
+def test_clashing_columns_in_operators(spark):
+    d = clashing(spark)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    replaced = {"score", "predicted", "held_out", "lang_pred", "piece_ids", "decoded"}
+    for out in (
+        toxicity.score_toxicity(d, toxicity.fit(d, labels)),
+        quality_classifier.score_quality(d, quality_classifier.fit(d, labels)),
+        language_id.predict_language(d, language_id.learn_samples(d)),
+        pieces.encode_documents(d),
+    ):
+        row = out.first()
+        assert out.count() == 120 and all(row[c] == "own" for c in CLASH if c not in replaced)
+    assert ngram_join.jaccard_components(d).select("component_id").distinct().count() == 40
+    assert mixing.mix(mixing.sized_documents(d)).count() == 120
+    assert quality_rules.score_rules(d, quality_rules.bucket_weights(d, labels.select("doc_id"))).count() == 120
+    assert token_rollup.changes(d, token_rollup.word_tokens(F.col("text")), "v", 1).count() == 120
+    v = spark.createDataFrame([(i, [float(i), 1.0], "own", "own") for i in range(9)], "vec_id long, embedding array<double>, slot string, v string")
+    p = kdtree.integer_points(v)
+    assert kdtree.top_k(p, p, 2).count() == 18
+
+
+def test_clashing_columns_in_stages(spark):
+    d = clashing(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, SF)
+        rows = out.collect()
+        assert out.columns == d.columns and all(r[c] == "own" for r in rows for c in CLASH), name
+        assert len(rows) == 40 if "jaccard" in name else rows
+    assert corpus_pipeline.encode_pieces(spark, d, SF).filter("lossless").count() == 120
+
+
+def test_stages_with_odd_rows(spark):
+    """Null ids, repeated ids and rows, null, empty and very long texts, empty tables."""
+    base = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b = "the quick brown fox jumps over the lazy dog", "an altogether different text of several words"
+    rows = [(3, a, "x", "s", 1), (5, a, "x", "s", 1), (5, b, "x", "s", 1), (None, "nothing like the others at all in here", "x", None, 1)]
+    rows += [(None, "copies of a row without any id", "x", "s", k) for k in (2, 1, 1)] + [(None, None, None, None, None)] * 2 + [(8, " ", "x", "s", 1), (9, "word " * 200_000, "x", "s", 1)]
+    d = spark.createDataFrame(rows, base)
+    kept = sorted(corpus_pipeline.drop_near_duplicates(spark, d, SF).collect(), key=str)
+    want = [rows[0], rows[2], rows[3], rows[5], rows[7], rows[8], rows[9], rows[10]]
+    assert [tuple(r) for r in kept] == sorted(want, key=lambda r: str(d.sparkSession.createDataFrame([r], base).first()))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.limit(0), SF).count() == 0, name
+        assert stage(spark, d, SF).count() <= 2 * len(rows), name
+    many = spark.createDataFrame([(None, f"{i} " + "w " * (i % 7), "x", "st"[i % 2], 1) for i in range(4000)], base)
+    taken = corpus_pipeline.mix_sources(spark, many, SF)
+    got = {r["source"]: r["n"] for r in taken.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    sizes = {r["source"]: r["n"] for r in many.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert all(abs(got[s] - t) <= 7 for s, t in brute_targets(sizes).items())
+
+
+def test_scratch(spark, monkeypatch):
+    from framesift.llm import common
+
+    with common.scratch_scope(spark) as kept:
+        spent, result = common.cut(spark.range(3), "spent"), common.cut(spark.range(4), "result")
+        kept.append(result)
+    assert result.count() == 4
+    with pytest.raises(Exception, match="(?i)exist"):
+        spent.count()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "256m")
+    common.small_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == common.ARROW_BYTES
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    common.small_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master, applicationId = "local-cluster[2,1,1024]", "x"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.scratch_root(Cluster)
+
+
 def test_pipeline(spark):
     source = spark.read.parquet(f"{SF}/documents.parquet")
     d = source
