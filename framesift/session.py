@@ -6,13 +6,16 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str = "local[*]", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """UTC, AQE, Arrow; `shuffle_partitions` is left to the cluster unless given."""
+    """UTC, AQE, Arrow in batches bounded by rows and bytes; `shuffle_partitions` is left to the
+    cluster unless given, and so is spark.checkpoint.dir, the shared folder for intermediate tables."""
     builder = (
         SparkSession.builder.master(master)
         .appName("framesift")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
         .config("spark.ui.enabled", "false")
     )
     if shuffle_partitions:
