@@ -13,13 +13,24 @@ def clip01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
-def scale_percentile(df: DataFrame, value: str, out: str) -> DataFrame:
-    """`value` between its global 10th and 90th percentile, clipped to 0..1; 0.5 for all rows
-    when the two are closer than 1e-12. The bounds are one row, joined as such."""
-    bounds = df.agg(F.percentile(value, F.array(F.lit(0.1), F.lit(0.9))).alias("_b"))
-    low, high = F.col("_b")[0], F.col("_b")[1]
+def scale_percentile(df: DataFrame, value: str, out: str, by: str | None = None) -> DataFrame:
+    """`value` between its 10th and 90th percentile, over all rows or those of equal `by`, clipped to
+    0..1; 0.5 for all rows when the two are closer than 1e-12. Bounds over all rows are one row,
+    joined as such."""
+    bounds = F.percentile(value, F.array(F.lit(0.1), F.lit(0.9)))
+    both = f"{out}_bounds"
+    if by is None:
+        df = df.join(F.broadcast(df.agg(bounds.alias(both))))
+    else:
+        df = df.join(df.groupBy(by).agg(bounds.alias(both)), by)
+    low, high = F.col(both)[0], F.col(both)[1]
     scaled = F.when(high - low < 1e-12, F.lit(0.5)).otherwise(clip01((F.col(value) - low) / (high - low)))
-    return df.join(F.broadcast(bounds)).withColumn(out, scaled).drop("_b")  # bounds: exactly one row
+    return df.withColumn(out, scaled).drop(both)
+
+
+def image_link(path: Column) -> Column:
+    """A relative path as a link: quoted by UTF-8 bytes, slashes kept."""
+    return F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
 
 
 def suffix(path: Column) -> Column:

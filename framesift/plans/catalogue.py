@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordering
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import evaluation, knn, scoring, selection, synthetic, timeline
+from ..operators import descriptor, evaluation, knn, scoring, selection, synthetic, timeline
 from ..sources import index_store, media
+from . import frame_selection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,8 +45,11 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings)"
 _KNN = f"""{_V}, s AS (
-  SELECT a.id AS query_id, b.id AS image_id, round(list_inner_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.id <> b.id
-), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank FROM s QUALIFY rank <= 10)"""
+  SELECT a.id AS query_id, b.id AS image_id, list_inner_product(a.e, b.e) AS exact FROM v a JOIN v b ON a.id <> b.id
+), k AS (
+  SELECT query_id, image_id, round(exact, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, image_id) AS rank
+  FROM s QUALIFY rank <= 10
+)"""
 
 # ------------------------------------------------------------------ vectors
 
@@ -65,7 +70,7 @@ def knn_report(spark: SparkSession, d: str) -> DataFrame:
     "vector_validity",
     f"""WITH {_V}, n AS (SELECT id, label, len(e) AS d, sqrt(list_inner_product(e, e)) AS norm, e FROM v)
     SELECT label, count(*) AS n, count(*) FILTER (d = 64 AND (norm = 0 OR abs(norm - 1) <= 2e-5)) AS valid,
-      count(*) FILTER (norm = 0) AS zero_index, count(*) FILTER (norm < 1e-6) AS zero_evaluation,
+      count(*) FILTER (d = 64 AND abs(norm - 1) <= 2e-5) AS valid_semantic, count(*) FILTER (norm = 0) AS zero_index, count(*) FILTER (norm < 1e-6) AS zero_evaluation,
       count(*) FILTER (len(list_filter(e, lambda x: x <> 0)) = 0) AS zero_query FROM n GROUP BY label""",
 )
 def vector_validity(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +78,7 @@ def vector_validity(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(V.is_valid(v, 64)).alias("valid"),
+        F.count_if(V.is_valid(v, 64, allow_zero=False)).alias("valid_semantic"),
         F.count_if(V.zero_at_index(v)).alias("zero_index"),
         F.count_if(V.zero_at_evaluation(v)).alias("zero_evaluation"),
         F.count_if(V.zero_at_query(v)).alias("zero_query"),
@@ -128,12 +134,8 @@ def preference_metrics(spark: SparkSession, d: str) -> DataFrame:
     SELECT count(*) AS pairs, count(*) FILTER (s >= 0.2) AS over_20, count(*) FILTER (s >= 0.3) AS over_30, count(*) FILTER (s >= 0.4) AS over_40, max(s) AS highest FROM s""",
 )
 def pairwise_similarity(spark: SparkSession, d: str) -> DataFrame:
-    v = _index(spark, d).repartition(spark.sparkContext.defaultParallelism)
-    other = v.select(F.col("id").alias("j"), F.col("embedding").alias("w"))
-    s = v.join(other, F.col("id") < F.col("j")).select(F.round(V.dot(F.col("embedding"), F.col("w")), 6).alias("s"))
-    return s.agg(
-        F.count(F.lit(1)).alias("pairs"), *(F.count_if(F.col("s") >= x / 100).alias(f"over_{x}") for x in (20, 30, 40)), F.max("s").alias("highest")
-    )
+    found = knn.pair_counts(_index(spark, d), (0.2, 0.3, 0.4))
+    return found.withColumnsRenamed({"over_0": "over_20", "over_1": "over_30", "over_2": "over_40"})
 
 
 _ANCHORS = "anchors AS (SELECT label AS anchor, arg_min(e, id) AS a, arg_min(id, id) AS aid FROM v GROUP BY label)"
@@ -175,21 +177,25 @@ def feedback_score(spark: SparkSession, d: str) -> DataFrame:
     return met.select("id", F.round(scoring.pair_feedback(m, pos), 6).alias("pair_score"), F.round(scoring.positive_feedback(pos), 6).alias("positive_only"))
 
 
-@query(
-    "distinct_references",
-    f"""WITH RECURSIVE {_V}, s AS (
-      SELECT a.id AS query_id, b.id AS image_id, round(list_inner_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.id <> b.id
-    ), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS r FROM s QUALIFY r <= 64),
+def _references(near: float, queries: str = "true", images: str = "true") -> str:
+    """SQL for l (query_id, rank, image_id, score): the best 64 by exact score; in order of the rounded score,
+    one is kept unless it is a near copy of one kept before, three at most."""
+    return f"""s AS (
+      SELECT a.id AS query_id, b.id AS image_id, list_inner_product(a.e, b.e) AS exact FROM v a JOIN v b ON a.id <> b.id WHERE {queries} AND {images}
+    ), k64 AS (SELECT *, round(exact, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, image_id) <= 64),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS r FROM k64),
     f AS (
       SELECT query_id, 0::BIGINT AS r, []::BIGINT[] AS kept FROM (SELECT DISTINCT query_id FROM k)
       UNION ALL
       SELECT f.query_id, k.r, CASE WHEN len(f.kept) >= 3 OR EXISTS (
-          SELECT 1 FROM v x JOIN v y ON y.id = k.image_id WHERE list_contains(f.kept, x.id) AND list_inner_product(x.e, y.e) >= {NEAR})
+          SELECT 1 FROM v x JOIN v y ON y.id = k.image_id WHERE list_contains(f.kept, x.id) AND list_inner_product(x.e, y.e) >= {near})
         THEN f.kept ELSE list_append(f.kept, k.image_id) END
       FROM f JOIN k ON k.query_id = f.query_id AND k.r = f.r + 1
-    ), l AS (SELECT query_id, unnest(kept) AS image_id, generate_subscripts(kept, 1) AS rank FROM f QUALIFY f.r = max(f.r) OVER (PARTITION BY query_id))
-    SELECT l.query_id, l.rank::INTEGER AS rank, l.image_id, k.score FROM l JOIN k USING (query_id, image_id)""",
-)
+    ), u AS (SELECT query_id, unnest(kept) AS image_id, generate_subscripts(kept, 1) AS rank FROM f QUALIFY f.r = max(f.r) OVER (PARTITION BY query_id)),
+    l AS (SELECT u.query_id, u.rank, u.image_id, k.score FROM u JOIN k USING (query_id, image_id))"""
+
+
+@query("distinct_references", f"WITH RECURSIVE {_V}, {_references(NEAR)} SELECT query_id, rank::INTEGER AS rank, image_id, score FROM l")
 def distinct_references(spark: SparkSession, d: str) -> DataFrame:
     v = _index(spark, d)
     shortlist = knn.top_k(v, v, 64, exclude_self=True).drop("rank")
@@ -197,6 +203,89 @@ def distinct_references(spark: SparkSession, d: str) -> DataFrame:
     return scoring.distinct_references(met, 3, NEAR)
 
 
+_EVEN, _ODD = "a.id % 2 = 0", "b.id % 2 = 1"
+_REFS = f"{_V}, {_references(0.9995, _EVEN, _ODD)}"
+
+
+def _frames_and_references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Even vectors as frames of one video, odd ones as references; a vector's layout is its first 16 values."""
+    v = _index(spark, d).withColumn("layout", F.slice("embedding", 1, 16))
+    return v.filter("id % 2 = 0"), v.filter("id % 2 = 1").select("id", "embedding", "layout")
+
+
+@query(
+    "reference_means",
+    f"""WITH RECURSIVE {_REFS}
+    SELECT query_id, round(avg(score), 6) AS relevance_raw, round(avg(list_inner_product(a.e[1:16], b.e[1:16])), 6) AS layout_raw, count(*) AS distinct_reference_count
+    FROM l JOIN v a ON a.id = query_id JOIN v b ON b.id = image_id GROUP BY query_id""",
+)
+def reference_means(spark: SparkSession, d: str) -> DataFrame:
+    _, means = frame_selection.reference_scores(*_frames_and_references(spark, d))
+    return means.withColumns({c: F.round(c, 6) for c in ("relevance_raw", "layout_raw")})
+
+
+_CASES = f"""{_REFS}, m AS (
+      SELECT query_id AS id, avg(score) AS rel, avg(list_inner_product(a.e[1:16], b.e[1:16])) AS lay
+      FROM l JOIN v a ON a.id = query_id JOIN v b ON b.id = image_id GROUP BY query_id
+    ), x AS (SELECT *, e[1:16] AS y, ln(1 + id * 37 % 101) AS sharp, (id % 10) / 20.0 AS dark, (id % 7) / 20.0 AS bright FROM v JOIN m USING (id)),
+    anchors AS (
+      SELECT 'pair' AS name, arg_min(e, id) FILTER (label = 1) AS p, arg_min(e, id) FILTER (label = 2) AS n FROM v WHERE id % 2 = 0
+      UNION ALL SELECT 'single', arg_min(e, id) FILTER (label = 3), NULL FROM v WHERE id % 2 = 0
+      UNION ALL SELECT 'strange', list_transform(arg_min(e, id), lambda z: 0.0::DOUBLE), NULL FROM v
+    ), t AS (SELECT x.id, name, p, n, list_inner_product(e, p) AS s FROM x, anchors),
+    q AS (SELECT *, s >= greatest(0.78, max(s) OVER (PARTITION BY name) - 0.05) AS ok FROM t),
+    g AS (SELECT id, first(name ORDER BY s DESC, name) AS name, first(p ORDER BY s DESC, name) AS p, first(n ORDER BY s DESC, name) AS n FROM q WHERE ok GROUP BY id),
+    w AS (SELECT quantile_cont(sharp, 0.1) AS lo, quantile_cont(sharp, 0.9) AS hi FROM x),
+    c AS (SELECT x.id, name, rel >= 0.2 AS eligible, least(greatest((rel - 0.2) / 0.8, 0), 1) AS relevance,
+        0.7 * (CASE WHEN hi - lo < 1e-12 THEN 0.5 ELSE least(greatest((sharp - lo) / (hi - lo), 0), 1) END) + 0.3 * greatest(0, 1 - dark - bright) AS quality,
+        (1 + lay) / 2 AS reference_layout,
+        CASE WHEN name IS NULL THEN 0.5 WHEN n IS NULL THEN (1 + list_inner_product(y, p[1:16])) / 2
+          ELSE least(greatest(0.5 + 2 * (list_inner_product(e, p) - list_inner_product(e, n)) + list_inner_product(y, p[1:16]) - list_inner_product(y, n[1:16]), 0), 1) END AS feedback
+      FROM x LEFT JOIN g USING (id), w)"""
+
+
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    frames, references = _frames_and_references(spark, d)
+    k = F.col("id")
+    cases = frames.select(
+        F.lit("v").alias("video_id"), k.alias("frame_number"), "embedding", "layout",
+        (k * 37 % 101).cast("double").alias("sharpness"), ((k % 10) / 20.0).alias("dark_fraction"), ((k % 7) / 20.0).alias("bright_fraction"),
+    )
+
+    def first(label: int):
+        return F.min_by(F.when(F.col("label") == label, F.col("embedding")), F.when(F.col("label") == label, k))
+
+    one = frames.agg(first(1).alias("a"), first(2).alias("b"), first(3).alias("c"))
+    zero = F.transform("a", lambda _: F.lit(0.0).cast("float"))
+    none = F.lit(None).cast("array<float>")
+    listed = F.array(
+        F.struct(F.lit("pair").alias("name"), F.col("a").alias("preferred"), F.col("b").alias("less_preferred")),
+        F.struct(F.lit("single").alias("name"), F.col("c").alias("preferred"), none.alias("less_preferred")),
+        F.struct(F.lit("strange").alias("name"), zero.alias("preferred"), none.alias("less_preferred")),
+    )
+    anchors = one.select(F.explode(listed).alias("x")).select("x.*")
+    anchors = anchors.withColumn("preferred_layout", F.slice("preferred", 1, 16)).withColumn("less_preferred_layout", F.slice("less_preferred", 1, 16))
+    return frame_selection.score_candidates(cases, references, anchors, 0.2), anchors
+
+
+@query(
+    "frame_scores",
+    f"""WITH RECURSIVE {_CASES}
+    SELECT id AS frame_number, CASE WHEN eligible THEN name END AS seed_group, eligible, round(relevance, 6) AS relevance, round(quality, 6) AS quality,
+      round(reference_layout, 6) AS reference_layout, round(feedback, 6) AS feedback,
+      round(0.35 * relevance + 0.20 * quality + 0.20 * reference_layout + 0.25 * feedback, 6) AS score FROM c""",
+)
+def frame_scores(spark: SparkSession, d: str) -> DataFrame:
+    """References, feedback from examples, components and score of every frame, in one dataflow."""
+    scored, _ = _scored(spark, d)
+    return scored.select("frame_number", "seed_group", "eligible", *(F.round(c, 6).alias(c) for c in (*scoring.WEIGHTS, "score")))
+
+
+@query("unmatched_anchors", f"WITH RECURSIVE {_CASES} SELECT name FROM anchors WHERE name NOT IN (SELECT name FROM c WHERE eligible AND name IS NOT NULL)")
+def unmatched_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return frame_selection.unmatched(*_scored(spark, d)).select("name")
+
+
 # ------------------------------------------------------------------ timelines
 
 _F = "f AS (SELECT event_id AS n, epoch_us(ts) / 1e6 AS t, value, event_type FROM events)"
@@ -276,6 +365,14 @@ def min_scene_cuts(spark: SparkSession, d: str) -> DataFrame:
     return timeline.enforce_min_gap(cuts, 15).select("frame_number")
 
 
+@query("pts_consistency", f"WITH {_F} SELECT n AS frame_number FROM f WHERE n % 3 = 0 AND abs((n % 5) / 4.0) > 0.5")
+def pts_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Every third frame is decoded again, up to a second late; at one frame a second half is allowed."""
+    scanned = _frames(spark, d)
+    decoded = scanned.filter("frame_number % 3 = 0").withColumn("ts", F.col("ts") + (F.col("frame_number") % 5) / 4.0)
+    return timeline.consistent_times(decoded, scanned, FPS).select("frame_number")
+
+
 # ------------------------------------------------------------------ scoring
 
 _SCALE = "CASE WHEN hi - lo < 1e-12 THEN 0.5 ELSE least(greatest(({x} - lo) / (hi - lo), 0), 1) END"
@@ -357,11 +454,12 @@ def greedy_select17(spark: SparkSession, d: str) -> DataFrame:
 
 
 _POOL = f"""pool AS (
-    SELECT g.step + 1 AS step, c.id, round(c.base - round({_PENALTY} * coalesce(max(m.s), 0), 6), 6) AS u, max(m.s) AS s, c.base
+    SELECT g.step + 1 AS step, c.id, round(c.base - round({_PENALTY} * coalesce(max(m.s), 0), 6), 6) AS u, max(m.s) AS s, c.base,
+      round({_PENALTY} * coalesce(max(m.s), 0), 6) AS cost, first(m.j ORDER BY m.s DESC, m.j) AS near
     FROM sel g JOIN cand c ON NOT list_contains(g.kept, c.id) LEFT JOIN sims m ON m.i = c.id AND list_contains(g.kept, m.j)
     WHERE len(g.kept) < 17 GROUP BY g.step, g.kept, c.id, c.base),
   live AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY u DESC, id) AS k, count(*) OVER (PARTITION BY step) AS n FROM pool WHERE s IS NULL OR s < {NEAR}),
-  two AS (SELECT a.step, a.id AS winner, a.u AS wu, b.id AS runner_up, round(a.u - b.u, 6) AS margin, a.n FROM live a LEFT JOIN live b ON b.step = a.step AND b.k = 2 WHERE a.k = 1)"""
+  two AS (SELECT a.step, a.id AS winner, a.u AS wu, b.id AS runner_up, round(a.u - b.u, 6) AS margin, a.n, a.base AS wb, a.cost AS wc, b.u AS ru FROM live a LEFT JOIN live b ON b.step = a.step AND b.k = 2 WHERE a.k = 1)"""
 
 
 @query(
@@ -376,19 +474,20 @@ def greedy_trace(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "audit_csv_rows",
     f"""WITH RECURSIVE {_CAND}, {_greedy(_START, 17)}, {_POOL}
-    SELECT step::INTEGER AS step, id AS frame_number, base AS base_score, s AS max_similarity, u AS utility,
-      CASE WHEN s >= {NEAR} THEN 'duplicate_blocked' ELSE 'considered' END AS status FROM pool WHERE step IN (SELECT step FROM two)""",
+    SELECT step::INTEGER AS step, 'diversity' AS phase, NULL::VARCHAR AS feedback_example, winner, id AS frame_number, base AS base_score,
+      near AS nearest_previously_selected, coalesce(s, 0.0) AS max_similarity, cost AS diversity_penalty, u AS utility,
+      CASE WHEN s >= {NEAR} THEN 'duplicate_blocked' ELSE 'considered' END AS status FROM pool JOIN two USING (step)""",
 )
 def audit_csv_rows(spark: SparkSession, d: str) -> DataFrame:
-    return selection.audit_rows(_trace(spark, d)).select("step", "frame_number", "base_score", "max_similarity", "utility", "status")
+    return selection.audit_rows(_trace(spark, d)).drop("video_id")
 
 
 @query(
     "explain_steps",
     f"""WITH RECURSIVE {_CAND}, {_greedy(_START, 17)}, {_POOL}
-    SELECT step::INTEGER AS step, printf('Step %d took frame %d for diversity with utility %.6f', step, winner, wu) ||
-      CASE WHEN runner_up IS NULL THEN '; nothing else could be taken.' WHEN margin = 0 THEN printf('; frame %d tied and has the higher number.', runner_up)
-      ELSE printf('; frame %d was next, %.6f behind.', runner_up, margin) END AS sentence FROM two""",
+    SELECT step::INTEGER AS step, printf('Frame %d is best of %d: score %.6f less %.6f for redundancy is %.6f.', winner, n, wb, wc, wu) ||
+      CASE WHEN runner_up IS NULL THEN ' Nothing else could be taken.' WHEN margin = 0 THEN printf(' Frame %d tied and has the higher number.', runner_up)
+      ELSE printf(' Frame %d was next at %.6f, %.6f behind.', runner_up, ru, margin) END AS sentence FROM two""",
 )
 def explain_steps(spark: SparkSession, d: str) -> DataFrame:
     return selection.explain(_trace(spark, d)).select("step", "sentence")
@@ -424,10 +523,29 @@ def nearest_selected(spark: SparkSession, d: str) -> DataFrame:
 _SEEDS = "SELECT 0 AS step, list(id ORDER BY label) AS kept FROM (SELECT label, first(id ORDER BY base DESC, id) AS id FROM cand WHERE label IN (3, 4, 5) GROUP BY label)"
 
 
+@query(
+    "seeded_audit",
+    f"""WITH {_CAND}, won AS (SELECT label, first(id ORDER BY base DESC, id) AS w FROM cand WHERE label IN (3, 4, 5) GROUP BY label),
+    m AS (SELECT c.id, c.label, c.base, won.w AS winner, j.w AS near, s.s FROM cand c JOIN won USING (label)
+      LEFT JOIN won j ON j.label < c.label LEFT JOIN sims s ON s.i = c.id AND s.j = j.w)
+    SELECT (label - 2)::INTEGER AS step, label::VARCHAR AS feedback_example, winner, id AS frame_number, base AS base_score,
+      first(near ORDER BY s DESC, near) AS nearest_previously_selected, coalesce(max(s), 0.0) AS max_similarity, 0.0::DOUBLE AS diversity_penalty,
+      base AS utility, 'considered' AS status FROM m GROUP BY label, winner, id, base""",
+)
+def seeded_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Pools of the steps that examples decide: they know what was selected before, but pay nothing for it."""
+    rows = selection.audit_rows(_seeded(spark, d)).filter("phase = 'feedback'")
+    return rows.drop("video_id", "phase")
+
+
 @query("seeded_select", f"WITH RECURSIVE {_CAND}, {_greedy(_SEEDS, 10)}, {_FINAL} SELECT step::INTEGER AS step, id AS frame_number, CASE WHEN step <= 3 THEN 'feedback' ELSE 'diversity' END AS phase FROM won")
 def seeded_select(spark: SparkSession, d: str) -> DataFrame:
+    return _seeded(spark, d).select("step", F.col("winner").alias("frame_number"), "phase")
+
+
+def _seeded(spark: SparkSession, d: str) -> DataFrame:
     c = _candidates(spark, d).withColumn("seed_group", F.when(F.col("label").isin(3, 4, 5), F.col("label").cast("string"))).drop("label")
-    return selection.select_frames(c, 10, _PENALTY, NEAR).select("step", F.col("winner").alias("frame_number"), "phase")
+    return selection.select_frames(c, 10, _PENALTY, NEAR)
 
 
 # ------------------------------------------------------------------ index lifecycle and integrity
@@ -460,8 +578,9 @@ def stale_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "inventory_fingerprint",
-    f"""WITH i AS ({_INV}), h AS (SELECT relative_path, sha256('{{"relative_path":"' || relative_path || '","size_bytes":' || size_bytes || ',"mtime_ns":' || mtime_ns || '}}') AS h FROM i)
-    SELECT sha256(string_agg(h, '' ORDER BY relative_path)) AS fingerprint FROM h""",
+    f"""WITH i AS ({_INV}), h AS (SELECT sha256('{{"relative_path":"' || relative_path || '","size_bytes":' || size_bytes || ',"mtime_ns":' || mtime_ns || '}}') AS h FROM i),
+    g AS (SELECT substr(h, 1, 3) AS g, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
+    SELECT sha256(string_agg(h, '' ORDER BY g)) AS fingerprint FROM g""",
 )
 def inventory_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(index_store.fingerprint(_inventory(spark, d).drop("doc_id")),)], "fingerprint string")
@@ -474,7 +593,7 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "collection_summary",
-    "SELECT count(*) AS candidates, count(l.doc_id) AS usable, count(*) - count(l.doc_id) AS invalid, sum(n_chars)::BIGINT AS bytes FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "SELECT count(*) AS candidates, count(l.doc_id) AS usable, count(*) - count(l.doc_id) AS invalid, coalesce(sum(CASE WHEN l.doc_id IS NOT NULL THEN n_chars END), 0)::BIGINT AS bytes FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
 )
 def collection_summary(spark: SparkSession, d: str) -> DataFrame:
     known = _t(spark, d, "labels").select("doc_id", F.lit(True).alias("ok"))
@@ -484,17 +603,49 @@ def collection_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "extension_histogram",
-    r"SELECT lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+(\.[^.]+)$', 1)) AS extension, count(*) AS n FROM pages GROUP BY 1",
+    r"""SELECT lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+(\.[^.]+)$', 1)) AS extension, count(*) AS n
+    FROM pages WHERE page_id % 4 <> 0 GROUP BY 1""",
 )
 def extension_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return media.extension_histogram(_t(spark, d, "pages"), "url")
+    """Every fourth page counts as not decodable; only the others are counted."""
+    pages = _t(spark, d, "pages").withColumn("error", F.when(F.col("page_id") % 4 == 0, "not decodable"))
+    return media.extension_histogram(media.usable(pages), "url")
 
 
 @query("tagged_errors", "SELECT doc_id, CASE WHEN n_chars < 500 THEN 'too short' END AS error, CASE WHEN n_chars >= 500 THEN row_number() OVER (PARTITION BY n_chars >= 500 ORDER BY doc_id) - 1 END AS id FROM documents")
 def tagged_errors(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").withColumn("error", F.when(F.col("n_chars") < 500, "too short"))
-    good = rows.filter("error is null").withColumn("id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long"))
-    return good.select("doc_id", "error", "id").unionByName(rows.filter("error is not null").select("doc_id", "error", F.lit(None).cast("long").alias("id")))
+    rows = _t(spark, d, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("relative_path"), F.col("n_chars").alias("size_bytes"), F.lit(0).alias("mtime_ns"), F.when(F.col("n_chars") < 500, "too short").alias("error")
+    )
+    good = ordering.row_numbers(media.usable(rows).select("doc_id", "error"), "doc_id", "id", rows=200)
+    bad = media.errors(rows).select(F.col("relative_path").cast("long").alias("doc_id"), "error", F.lit(None).cast("long").alias("id"))
+    return good.unionByName(bad)
+
+
+@query(
+    "flatten_results",
+    "SELECT conv_id AS shot_id, conv_id * 1000 + turn AS frame_number, turn / 10.0::DOUBLE AS timestamp_seconds FROM conversations",
+)
+def flatten_results(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as shots and turns as their query frames, nested into one document and taken apart."""
+    turns = _t(spark, d, "conversations")
+    frame = F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("frame_number"), (F.col("turn") / 10.0).alias("timestamp_seconds"))
+    shots = turns.groupBy("conv_id").agg(F.collect_list(frame).alias("queries")).select(F.array(F.struct(F.col("conv_id").alias("id"), "queries")).alias("shots"))
+    return media.unchecked_results(shots)
+
+
+@query(
+    "thumbnail_plan",
+    """SELECT doc_id AS image_id, CASE WHEN error IS NULL THEN printf('candidates/%06d.jpg', doc_id) END AS thumbnail, error FROM (
+      SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN quality = 0 THEN 'changed since indexing' END AS error
+      FROM documents LEFT JOIN labels l USING (doc_id) WHERE doc_id % 3 = 0)""",
+)
+def thumbnail_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as indexed images, of which every third is matched; those without a label are gone."""
+    inv = _inventory(spark, d)
+    matches = inv.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("image_id"))
+    plan = media.thumbnail_plan(matches, inv.withColumnRenamed("doc_id", "id"), _checkpoint(spark, d, inv).drop("doc_id"))
+    return plan.drop("relative_path")
 
 
 @query(
@@ -525,33 +676,77 @@ def batch_numbers(spark: SparkSession, d: str) -> DataFrame:
     return media.batch_numbers(_t(spark, d, "documents").select("doc_id"), "doc_id", 16)
 
 
-_GEN = """d AS (SELECT s, f, v, u, a, s || '-' || lpad(f::VARCHAR, 2, '0') AS family_id FROM (VALUES ('dev'), ('test')) x(s), range(12) y(f),
-  (VALUES ('base'), ('position'), ('scale'), ('background')) z(v), (VALUES ('rectangle', 0), ('ellipse', 1), ('triangle', 2)) w(u, ui),
-  (VALUES ('warm', 0), ('cool', 1), ('dark', 2), ('textured', 3)) q(a, ai))"""
+_GEN = """d AS (SELECT s, v, u, a, ui, ai, printf('%s-%03d', s, f) AS family_id FROM (VALUES ('dev'), ('test')) x(s), range(12) y(f),
+  (VALUES ('base'), ('position'), ('scale'), ('background')) z(v), (VALUES ('car', 0), ('tree', 1), ('person', 2)) w(u, ui),
+  (VALUES ('neutral', 0), ('warm', 1), ('cool', 2), ('textured', 3)) q(a, ai)),
+  labels_ AS (SELECT family_id || '-' || v || '-' || u || '-' || a AS id, 'images/' || s || '/' || family_id || '-' || v || '-' || u || '-' || a || '.png' AS path,
+    s AS split, family_id, family_id || '-' || v AS layout_id, v AS variant, u AS subject, a AS appearance,
+    ('0x' || substr(sha256('20260921:' || family_id || '-' || u || '-' || a), 1, 16))::UBIGINT::VARCHAR AS seed FROM d)"""
 
 
-@query("synthetic_labels", f"WITH {_GEN} SELECT family_id || '-' || v || '-' || u || '-' || a AS id, s AS split, family_id, family_id || '-' || v AS layout_id, v AS variant, u AS subject, a AS appearance FROM d")
+@query("synthetic_labels", f"WITH {_GEN} SELECT * FROM labels_")
 def synthetic_labels(spark: SparkSession, d: str) -> DataFrame:
-    return synthetic.image_labels(spark)
+    return synthetic.image_labels(spark).withColumn("seed", F.col("seed").cast("string"))
 
 
-@query(
-    "synthetic_pairs",
-    f"""WITH {_GEN}, nu AS (SELECT * FROM (VALUES ('rectangle', 'ellipse'), ('ellipse', 'triangle'), ('triangle', 'rectangle')) n(u, nu)),
-    na AS (SELECT * FROM (VALUES ('warm', 'cool'), ('cool', 'dark'), ('dark', 'textured'), ('textured', 'warm')) n(a, na))
-    SELECT s AS split, family_id || '-base-' || u || '-' || a AS query, family_id || '-base-' || nu || '-' || CASE WHEN p = 0 THEN a ELSE na END AS positive,
-      family_id || '-' || change || '-' || u || '-' || a AS negative, change, CASE WHEN p = 0 THEN 'subject' ELSE 'subject+appearance' END AS positive_change
-    FROM d JOIN nu USING (u) JOIN na USING (a), range(2) r(p), (VALUES ('position'), ('scale'), ('background')) c(change) WHERE v = 'base'""",
-)
+_PAIRS = f"""{_GEN}, pairs_ AS (
+    SELECT x.s AS split, x.family_id || '-base-' || x.u || '-' || x.a AS query, x.family_id || '-base-' || y.u || '-' || y.a AS positive,
+      x.family_id || '-' || change || '-' || x.u || '-' || x.a AS negative, change, CASE WHEN x.a = y.a THEN 'subject' ELSE 'subject_and_appearance' END AS positive_change
+    FROM d x JOIN d y ON y.family_id = x.family_id AND y.v = 'base' AND y.ui = (x.ui + 1) % 3 AND y.ai IN (x.ai, (x.ai + 1) % 4),
+      (VALUES ('position'), ('scale'), ('background')) c(change) WHERE x.v = 'base')"""
+
+
+@query("synthetic_pairs", f"WITH {_PAIRS} SELECT * FROM pairs_")
 def synthetic_pairs(spark: SparkSession, d: str) -> DataFrame:
     return synthetic.preference_pairs(synthetic.image_labels(spark))
 
 
-@query("label_integrity", "SELECT 'x' AS rule, 0::BIGINT AS n WHERE false")
+_BROKEN = f"""{_PAIRS}, i AS (
+    SELECT CASE WHEN id = 'dev-001-scale-tree-cool' THEN 'dev-001-scale-tree-warm' ELSE id END AS id,
+      CASE WHEN id LIKE 'dev-002-base-car-%' THEN 'elsewhere/' || path WHEN id = 'test-003-base-car-warm' THEN 'images/test/../x.png' ELSE path END AS path,
+      CASE WHEN id LIKE 'test-004-position-%' THEN 'dev' WHEN id = 'dev-005-base-tree-cool' THEN 'other' ELSE split END AS split,
+      family_id, layout_id, CASE WHEN id = 'dev-006-base-person-warm' THEN 'car' ELSE subject END AS subject, appearance,
+      CASE WHEN id = 'dev-007-base-car-cool' THEN 'bent' WHEN layout_id = 'test-008-scale' THEN 'dev-008-scale' ELSE layout_id END AS geometry
+    FROM labels_
+  ), p AS (SELECT split, query, CASE WHEN query = 'dev-009-base-car-cool' THEN 'nobody' ELSE positive END AS positive, negative FROM pairs_),
+  j AS (SELECT p.split, q.split AS qs, q.layout_id AS ql, q.subject AS qj, q.appearance AS qa, a.split AS ps, a.layout_id AS pl, a.subject AS pj,
+      n.split AS ns, n.layout_id AS nl, n.subject AS nj, n.appearance AS na FROM p JOIN i q ON q.id = query JOIN i a ON a.id = positive JOIN i n ON n.id = negative)"""
+
+
+@query(
+    "label_integrity",
+    f"""WITH {_BROKEN}, r AS (
+      SELECT 'repeated id' AS rule, (SELECT count(*) FROM (SELECT id FROM i GROUP BY id HAVING count(*) > 1)) AS n
+      UNION ALL SELECT 'repeated path', (SELECT count(*) FROM (SELECT path FROM i GROUP BY path HAVING count(*) > 1))
+      UNION ALL SELECT 'unknown split', (SELECT count(*) FROM i WHERE split NOT IN ('dev', 'test'))
+      UNION ALL SELECT 'path outside its split', (SELECT count(*) FROM i WHERE NOT starts_with(path, 'images/' || split || '/') OR contains(path, '..'))
+      UNION ALL SELECT 'family in two splits', (SELECT count(*) FROM (SELECT family_id FROM i GROUP BY family_id HAVING count(DISTINCT split) > 1))
+      UNION ALL SELECT 'layout with two geometries', (SELECT count(*) FROM (SELECT layout_id FROM i GROUP BY layout_id HAVING count(DISTINCT split || ' ' || geometry) > 1))
+      UNION ALL SELECT 'geometry in two splits', (SELECT count(*) FROM (SELECT geometry FROM i GROUP BY geometry HAVING count(DISTINCT split) > 1))
+      UNION ALL SELECT 'pair with unknown query', (SELECT count(*) FROM p WHERE query NOT IN (SELECT id FROM i))
+      UNION ALL SELECT 'pair with unknown positive', (SELECT count(*) FROM p WHERE positive NOT IN (SELECT id FROM i))
+      UNION ALL SELECT 'pair with unknown negative', (SELECT count(*) FROM p WHERE negative NOT IN (SELECT id FROM i))
+      UNION ALL SELECT 'pair across splits', (SELECT count(*) FROM j WHERE NOT (split = qs AND split = ps AND split = ns))
+      UNION ALL SELECT 'positive of another layout or the same subject', (SELECT count(*) FROM j WHERE pl <> ql OR pj = qj)
+      UNION ALL SELECT 'negative of the same layout or another look', (SELECT count(*) FROM j WHERE nl = ql OR nj <> qj OR na <> qa)
+    ) SELECT * FROM r WHERE n > 0""",
+)
 def label_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """The generated labels with planted faults of every kind."""
     labels = synthetic.image_labels(spark)
-    images = labels.withColumn("path", F.concat_ws("/", "split", "id")).withColumn("geometry", F.col("layout_id"))
-    return evaluation.label_violations(images, synthetic.preference_pairs(labels))
+    pairs = synthetic.preference_pairs(labels).withColumn("positive", F.when(F.col("query") == "dev-009-base-car-cool", "nobody").otherwise(F.col("positive")))
+    known = F.col("id")
+    broken = labels.select(
+        F.when(known == "dev-001-scale-tree-cool", "dev-001-scale-tree-warm").otherwise(known).alias("id"),
+        F.when(known.like("dev-002-base-car-%"), F.concat(F.lit("elsewhere/"), "path")).when(known == "test-003-base-car-warm", "images/test/../x.png").otherwise(F.col("path")).alias("path"),
+        F.when(known.like("test-004-position-%"), "dev").when(known == "dev-005-base-tree-cool", "other").otherwise(F.col("split")).alias("split"),
+        "family_id",
+        "layout_id",
+        F.when(known == "dev-006-base-person-warm", "car").otherwise(F.col("subject")).alias("subject"),
+        "appearance",
+        F.when(known == "dev-007-base-car-cool", "bent").when(F.col("layout_id") == "test-008-scale", "dev-008-scale").otherwise(F.col("layout_id")).alias("geometry"),
+    )
+    return evaluation.label_violations(broken, pairs)
 
 
 # ------------------------------------------------------------------ pixels
@@ -570,34 +765,40 @@ _PIXEL = "((x * (3 + k) + y * (7 + 2 * k) + (x * y) % (5 + k)) % 256)"
     SELECT k, round(var_pop(lap), 6) AS sharpness, round(avg((g <= 8)::INT), 6) AS dark_fraction, round(avg((g >= 247)::INT), 6) AS bright_fraction FROM l GROUP BY k""",
 )
 def image_quality_grid(spark: SparkSession, d: str) -> DataFrame:
+    q = _pictures(spark).select("k", descriptor.quality_column(F.col("pixels"), F.lit(_W), F.lit(_H)).alias("q"))
+    return q.select("k", *(F.round(f"q.{c}", 6).alias(c) for c in ("sharpness", "dark_fraction", "bright_fraction")))
+
+
+def _pictures(spark: SparkSession) -> DataFrame:
+    """k, pixels: pictures made of a formula, as grey bytes by rows."""
     n = F.col("id")
     p = spark.range(_GRIDS * _W * _H).select(F.floor(n / (_W * _H)).alias("k"), (n % _W).alias("x"), (F.floor(n / _W) % _H).alias("y"))
-    p = p.withColumn("g", F.expr(_PIXEL).cast("double"))
-    lap = -4 * F.col("g")
-    for fixed, along in (("y", "x"), ("x", "y")):
-        w = Window.partitionBy("k", fixed).orderBy(along)
-        a, b = F.lag("g").over(w), F.lead("g").over(w)
-        lap = lap + F.coalesce(a, b) + F.coalesce(b, a)
-    return p.withColumn("lap", lap).groupBy("k").agg(
-        F.round(F.var_pop("lap"), 6).alias("sharpness"),
-        F.round(F.avg(F.when(F.col("g") <= 8, 1).otherwise(0)), 6).alias("dark_fraction"),
-        F.round(F.avg(F.when(F.col("g") >= 247, 1).otherwise(0)), 6).alias("bright_fraction"),
-    )
+    ordered = F.sort_array(F.collect_list(F.struct("y", "x", F.expr(_PIXEL).alias("g"))))
+    one = p.groupBy("k").agg(F.array_join(F.transform(ordered, lambda q: F.lpad(F.hex(q["g"]), 2, "0")), "").alias("h"))
+    return one.select("k", F.unhex("h").alias("pixels"))
 
 
 @query(
-    "spatial_intensity_grid",
+    "spatial_descriptor_grid",
     f"""WITH p AS (SELECT k, x, y, {_PIXEL} / 255.0::DOUBLE AS g FROM range({_GRIDS}) a(k), range({_W}) b(x), range({_H}) c(y)),
-    s AS (SELECT *, (g - avg(g) OVER (PARTITION BY k)) / stddev_pop(g) OVER (PARTITION BY k) AS z FROM p),
-    c AS (SELECT k, (y * 8 // {_H}) * 8 + x * 8 // {_W} AS cell, avg(z) AS m FROM s GROUP BY ALL)
-    SELECT k, cell, round(m / sqrt(sum(m * m) OVER (PARTITION BY k)) * sqrt(0.5), 4) AS value FROM c""",
+    s AS (SELECT k, x, y, (y * 8 // {_H}) * 8 + x * 8 // {_W} AS cell, (g - avg(g) OVER (PARTITION BY k)) / stddev_pop(g) OVER (PARTITION BY k) AS z FROM p),
+    c AS (SELECT k, cell, avg(z) AS m FROM s GROUP BY ALL),
+    i AS (SELECT k, cell AS place, m / sqrt(sum(m * m) OVER (PARTITION BY k)) * sqrt(0.5) AS value FROM c),
+    e AS (SELECT k, cell,
+        CASE WHEN x = 0 THEN lead(z) OVER h - z WHEN x = {_W - 1} THEN z - lag(z) OVER h ELSE (lead(z) OVER h - lag(z) OVER h) / 2 END AS dx,
+        CASE WHEN y = 0 THEN lead(z) OVER w - z WHEN y = {_H - 1} THEN z - lag(z) OVER w ELSE (lead(z) OVER w - lag(z) OVER w) / 2 END AS dy
+      FROM s WINDOW h AS (PARTITION BY k, y ORDER BY x), w AS (PARTITION BY k, x ORDER BY y)),
+    t AS (SELECT k, cell, sqrt(dx * dx + dy * dy) AS m, atan2(dy, dx) * 8 / pi() AS a FROM e),
+    f AS (SELECT k, cell, m, a - 8 * floor(a / 8) AS a FROM t),
+    b AS (SELECT k, cell, floor(a)::BIGINT % 8 AS bin, m * (1 - (a - floor(a))) AS v FROM f
+      UNION ALL SELECT k, cell, (floor(a)::BIGINT + 1) % 8, m * (a - floor(a)) FROM f),
+    o AS (SELECT k, cell, bin, sum(v) AS v FROM b GROUP BY ALL),
+    x AS (SELECT k, 64 + cell * 8 + bin AS place, v / sqrt(sum(v * v) OVER (PARTITION BY k)) * sqrt(0.5) AS value FROM o)
+    SELECT q.k, q.place::BIGINT AS place, round(coalesce(value, 0), 4) + 0.0 AS value
+    FROM (SELECT k, place FROM range({_GRIDS}) g(k), range(576) r(place)) q LEFT JOIN (SELECT * FROM i UNION ALL SELECT * FROM x) USING (k, place)""",
 )
-def spatial_intensity_grid(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.descriptor import descriptor_column
-
-    n = F.col("id")
-    p = spark.range(_GRIDS * _W * _H).select(F.floor(n / (_W * _H)).alias("k"), (n % _W).alias("x"), (F.floor(n / _W) % _H).alias("y"))
-    p = p.withColumn("g", F.expr(_PIXEL))
-    one = p.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "g"))), lambda q: F.lpad(F.hex(q["g"]), 2, "0")), "").alias("h"))
-    v = one.select("k", F.slice(descriptor_column(F.unhex("h"), F.lit(_W), F.lit(_H)), 1, 64).alias("v"))
-    return v.select("k", F.posexplode("v").alias("cell", "m")).select("k", F.col("cell").cast("long").alias("cell"), F.round(F.col("m").cast("double"), 4).alias("value"))
+def spatial_descriptor_grid(spark: SparkSession, d: str) -> DataFrame:
+    """All 576 values: 64 of light and dark, 512 of edge directions; without blur."""
+    encoder = descriptor.SpatialDescriptor(blur_radius=0.0)
+    v = _pictures(spark).select("k", descriptor.descriptor_column(F.col("pixels"), F.lit(_W), F.lit(_H), encoder).alias("v"))
+    return v.select("k", F.posexplode("v").alias("place", "m")).select("k", F.col("place").cast("long").alias("place"), (F.round(F.col("m").cast("double"), 4) + 0.0).alias("value"))

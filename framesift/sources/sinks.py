@@ -6,9 +6,13 @@ import hashlib
 import html
 import json
 import os
+import shutil
 import tempfile
+import zipfile
 from pathlib import Path
+from urllib.parse import quote
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 
@@ -40,7 +44,50 @@ def write_audit_csv(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def sha256_file(path: str) -> str:
-    return hashlib.sha256(Path(path).read_bytes()).hexdigest()
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def write_npy(array: np.ndarray, path: str) -> None:
+    """An array without pickled objects, as a whole or not at all."""
+    staged = f"{path}.staged"
+    with open(staged, "wb") as f:
+        np.save(f, array, allow_pickle=False)
+    os.replace(staged, path)
+
+
+def read_npy(path: str) -> np.ndarray:
+    return np.load(path, allow_pickle=False)
+
+
+def export_selected(items: list[tuple[int, str, str]], folder: str) -> list[str]:
+    """Copies of (frame number, source file, its sha256) in rank order as selected/RR-frame-NNNNNNNN.ext,
+    and all of them in selected-frames.zip. A file that changed since is an error."""
+    os.makedirs(f"{folder}/selected", exist_ok=True)
+    names = []
+    for rank, (frame, source, digest) in enumerate(items, 1):
+        name = f"selected/{rank:02d}-frame-{frame:08d}{Path(source).suffix.lower()}"
+        shutil.copyfile(source, f"{folder}/{name}")
+        if sha256_file(f"{folder}/{name}") != digest:
+            raise ValueError(f"frame {frame} changed during selection")
+        names.append(name)
+    with zipfile.ZipFile(f"{folder}/selected-frames.zip", "w") as z:
+        for name in names:
+            z.write(f"{folder}/{name}", Path(name).name)
+    return names
+
+
+def file_digests(folder: str, leave_out: tuple[str, ...] = ()) -> dict[str, str]:
+    """sha256 of every file below the folder, by relative path."""
+    paths = sorted(p for p in Path(folder).rglob("*") if p.is_file())
+    return {n: sha256_file(str(p)) for p in paths if (n := p.relative_to(folder).as_posix()) not in leave_out}
+
+
+def empty_folder(folder: str) -> None:
+    """A new or empty folder to write to; anything in it is an error."""
+    os.makedirs(folder, exist_ok=True)
+    if any(Path(folder).iterdir()):
+        raise ValueError(f"{folder} is not empty")
 
 
 def mark_incomplete(folder: str) -> None:
@@ -64,5 +111,19 @@ def render_table(title: str, df: DataFrame) -> str:
     return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>\n"
 
 
+def image_link(path: str) -> str:
+    """A relative file path as the address of a picture in a page."""
+    return quote(path.replace(os.sep, "/"), safe="/.")
+
+
+def render_page(title: str, sections: list[tuple[str, DataFrame]], notes: list[str] = ()) -> str:
+    """Titled tables under one heading, with notes first; all rows, everything escaped."""
+    body = "".join(f"<p>{html.escape(n)}</p>" for n in notes)
+    for name, df in sections:
+        page = render_table(name, df)
+        body += f"<h2>{html.escape(name)}</h2>" + page[page.index("<table>") :]
+    return f"<!doctype html><html lang='en'><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}</html>\n"
+
+
 def lowest_margins(pairs: DataFrame, n: int = 12) -> DataFrame:
     return pairs.orderBy("margin", "query", "negative").limit(n)
