@@ -6,12 +6,14 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import descriptor, knn, timeline
-from ..sources import index_store, media, sinks, video
+from ..sources import index_store, media, png, sinks, video
 
 RESULTS = (
     "status string, index struct<path:string,sha256:string>, "
@@ -19,12 +21,8 @@ RESULTS = (
 )
 
 
-def grey_of(pixels, width, height):
+def grey_of(pixels: Column, width: Column, height: Column) -> Column:
     """Grey bytes of a column of RGB bytes."""
-    import numpy as np
-    import pandas as pd
-
-    from ..sources import png
 
     @F.pandas_udf("binary")
     def run(px: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from framesift.session import get_session
 
-    s = get_session("local[8]", 8, spark__driver__memory="6g", spark__ui__showConsoleProgress="false")
+    s = get_session("local[4]", 4, spark__driver__memory="6g", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

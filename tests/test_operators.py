@@ -79,11 +79,29 @@ def test_ranking_leaves_out_the_query(spark):
     for k in (0, 2049):
         with pytest.raises(ValueError):
             knn.top_k(df, df, k)
+    with pytest.raises(ValueError, match="empty"):
+        knn.top_k(df, df.limit(0), 3)
+    with pytest.raises(ValueError):
+        knn.top_k(spark.createDataFrame([(0, [1.0, 1.0])], "id long, embedding array<float>"), df, 3)
     for v in ([1.0, 1.0, 1.0], [float("nan"), 0.0, 0.0], [1.0, 0.0]):
         with pytest.raises(ValueError):
             knn.check_vectors(spark.createDataFrame([(0, v)], "id long, embedding array<float>"), 3)
 
 
+def test_order_is_by_the_exact_score(spark):
+    """Scores that differ after the sixth decimal rank by what they are; equal ones by id."""
+    v = [(i, [float(np.sqrt(1 - s * s)), s]) for i, s in ((0, 0.5), (1, 0.5 + 1e-8), (2, 0.5), (3, 0.5 - 1e-8))]
+    df = spark.createDataFrame(v, "id long, embedding array<double>")
+    q = spark.createDataFrame([(9, [0.0, 1.0])], "id long, embedding array<double>")
+    assert [r["image_id"] for r in knn.top_k(q, df, 4).orderBy("rank").collect()] == [1, 0, 2, 3]
+
+
+def test_search_in_several_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_ROWS", 17)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 13)
+    test_both_forms_of_search_agree(spark)
+
+
 def test_both_forms_of_search_agree(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
@@ -131,17 +149,18 @@ def test_percentile_scale_without_spread(spark):
 
 
 def test_descriptor():
+    encode = descriptor.SpatialDescriptor().encode
     for shape in ((1, 1), (1, 30), (30, 1), (4, 4), (10, 900)):
-        assert not descriptor.spatial_descriptor(np.full(shape, 90)).any()
+        assert not encode(np.full(shape, 90)).any()
     one = np.zeros((1, 30))
     one[0, 7] = 255
     for g in (one, one.T):
-        v = descriptor.spatial_descriptor(g)
+        v = encode(g)
         assert np.isfinite(v).all() and abs(np.linalg.norm(v) - 1) < 1e-5
     scene = np.full((80, 128), 60)
     scene[20:50, 30:80] = 160
-    assert descriptor.spatial_descriptor(scene) @ descriptor.spatial_descriptor(scene + 20) > 0.999
-    assert len(v) == descriptor.metadata()["dimension"] == 576
+    assert encode(scene) @ encode(scene + 20) > 0.999
+    assert len(v) == descriptor.SpatialDescriptor().metadata()["dimension"] == 576
     assert descriptor.image_quality(np.full((5, 5), 250))[1:] == (0.0, 1.0)
 
 
@@ -149,13 +168,12 @@ def test_generated_set(spark):
     labels = synthetic.image_labels(spark, 1)
     pairs = synthetic.preference_pairs(labels)
     assert labels.count() == 96 and labels.select("layout_id").distinct().count() == 8 and pairs.count() == 144
-    images = labels.withColumn("path", F.concat_ws("/", "split", "id")).withColumn("geometry", F.col("layout_id"))
+    images = labels.withColumn("geometry", F.col("layout_id"))
     assert evaluation.label_violations(images, pairs).count() == 0
     broken = evaluation.label_violations(images.withColumn("split", F.lit("dev")), pairs)
     assert {r["rule"] for r in broken.collect()} >= {"path outside its split", "pair across splits"}
-    base = synthetic.family_layouts(41, "dev", 0)
-    assert base["scale"]["width"] == 1.5 * base["base"]["width"] and base["position"]["center_x"] == 1 - base["base"]["center_x"]
-    assert 0 <= synthetic.scene_seed(41, "dev", 0) < 2**64
+    one = labels.filter("id = 'dev-000-base-car-warm'").first()
+    assert one["path"] == "images/dev/dev-000-base-car-warm.png" and int(one["seed"]) == synthetic.scene_seed(synthetic.SEED, "dev-000-car-warm")
 
 
 def test_review(spark):
@@ -179,16 +197,16 @@ def test_index_resume_corrupt_and_tamper(spark, tmp_path):
     (images / "notes.txt").write_text("no image")
     files = media.inventory(spark, str(images))
     assert files.count() == 5
-    meta = descriptor.metadata()
+    meta = descriptor.SpatialDescriptor().metadata()
     index = index_store.VectorIndex(spark, str(tmp_path / "index"), meta["dimension"], meta)
 
     def encode(todo):
-        d = media.decode(todo, str(images), media.pgm_decoder)
+        d = media.decode(media.scan(spark, str(images)).join(todo.select(*media.KEY), media.KEY, "left_semi"), media.plain_decoder)
         good = d.filter("error is null").withColumn("vector", descriptor.descriptor_column(F.col("pixels"), F.col("width"), F.col("height")))
         bad = d.filter("error is not null").withColumn("vector", F.lit(None).cast("array<float>"))
         return good.select(*todo.columns, "vector", "error").unionByName(bad.select(*todo.columns, "vector", "error"))
 
-    assert index.extract(files.limit(2), encode) == 2
+    assert index.extract(files.orderBy("relative_path").limit(2), encode) == 2
     assert index.extract(files, encode) == 3 and index.extract(files, encode) == 0
     manifest = index.build(files, encode)
     assert manifest["counts"] == {"usable": 4, "invalid": 1}
@@ -209,10 +227,9 @@ def test_html_page_has_all_rows(spark):
 
 
 def test_sources_and_sinks(spark, tmp_path):
-    with pytest.raises(ValueError):
-        media.list_images(str(tmp_path / "missing"))
-    with pytest.raises(ValueError):
-        media.list_images(str(tmp_path))
+    for folder in (tmp_path / "missing", tmp_path):
+        with pytest.raises(ValueError):
+            media.inventory(spark, str(folder))
     with pytest.raises(ValueError):
         index_store.ensure_separate(str(tmp_path), str(tmp_path / "below"))
     target = tmp_path / "x.json"
