@@ -118,6 +118,8 @@ def make_synthetic(spark: SparkSession, output: str, seed: int = synthetic.SEED,
         "files": {n: sinks.sha256_file(f"{output}/{n}") for n in ("images.jsonl", "pairs.jsonl")},
     }
     sinks.write_json(str(manifest), done)
+    first = labels.filter(F.col("family_id").isin("dev-000", "test-000")).select("split", "variant", "subject", "appearance", "path").orderBy("split", "variant", "subject", "appearance")
+    sinks.write_text(f"{output}/preview.html", sinks.render_gallery("Synthetic scenes", [(r["path"], f"{r['split']} {r['variant']}: {r['subject']}, {r['appearance']}") for r in first.collect()]))
     return done
 
 
@@ -218,11 +220,17 @@ def select(spark: SparkSession, results: str, output: str, top_k: int = 17, min_
     if index_store.index_digest(manifest) != data["index"]["sha256"]:
         raise ValueError("the results are of another index")
     frames = spark.read.parquet(str(source.parent / "frames")).withColumn("layout", F.col("embedding"))
+    if frames.filter(~F.sha2("picture", 256).eqNullSafe(F.col("source_sha256"))).limit(1).count():
+        raise ValueError("query frames changed since the query")
     references = vectors.withColumn("layout", F.col("embedding"))
     encoder = descriptor.SpatialDescriptor(**manifest["descriptor"]["parameters"])
     anchors = read_anchors(spark, profile, encoder) if profile else None
     scored = frame_selection.score_candidates(frames, references, anchors, min_relevance).persist()
-    report = frame_selection.write_selection(output, scored, top_k, duplicate=duplicate)
+    provenance = {"results_sha256": digest, "min_relevance": min_relevance}
+    if profile:
+        book = str(Path(profile).parent / json.loads(Path(profile).read_text())["workbook"])
+        provenance["feedback_source"] = {"profile_sha256": sinks.sha256_file(profile), "workbook_sha256": sinks.sha256_file(book)}
+    report = frame_selection.write_selection(output, scored, top_k, duplicate=duplicate, extra=provenance)
     trace = selection.select_frames(scored, top_k, duplicate=duplicate)
     sections = [("Decisions", selection.explain(trace).orderBy("step"))]
     if anchors is not None:

@@ -29,8 +29,11 @@ def scale_percentile(df: DataFrame, value: str, out: str, by: str | None = None)
 
 
 def image_link(path: Column) -> Column:
-    """A relative path as a link: quoted by UTF-8 bytes, slashes kept."""
-    return F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    """A relative path as a link: UTF-8 bytes quoted but for letters, digits, slashes and _.-~"""
+    out = F.url_encode(path)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
 
 def suffix(path: Column) -> Column:

@@ -415,6 +415,18 @@ def weighted_score(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", *(F.round(c, 6).alias(c) for c in ("relevance", "quality", "reference_layout", "score")), "eligible")
 
 
+@query(
+    "weighted_components",
+    """SELECT p_partkey, component, round(part, 6) AS part FROM (
+      SELECT p_partkey, unnest(['relevance', 'quality', 'reference_layout', 'feedback']) AS component,
+        unnest([0.35::DOUBLE * (p_partkey % 11) / 10, 0.20 * (p_partkey % 7) / 6, 0.20 * (p_size % 5) / 4, 0.25 * (p_size % 9) / 8]) AS part FROM part)""",
+)
+def weighted_components(spark: SparkSession, d: str) -> DataFrame:
+    parts = {"relevance": "p_partkey % 11 / 10", "quality": "p_partkey % 7 / 6", "reference_layout": "p_size % 5 / 4", "feedback": "p_size % 9 / 8"}
+    rows = _t(spark, d, "part").select("p_partkey", *(F.expr(f"({x})").alias(c) for c, x in parts.items()))
+    return rows.select("p_partkey", F.explode(scoring.weighted_components()).alias("component", "part")).withColumn("part", F.round("part", 6))
+
+
 # ------------------------------------------------------------------ selection
 
 _PENALTY = 0.4
@@ -636,7 +648,7 @@ def flatten_results(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "thumbnail_plan",
-    """SELECT doc_id AS image_id, CASE WHEN error IS NULL THEN printf('candidates/%06d.jpg', doc_id) END AS thumbnail, error FROM (
+    """SELECT doc_id AS image_id, CASE WHEN error IS NULL THEN printf('candidates/%06d.png', doc_id) END AS thumbnail, error FROM (
       SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN quality = 0 THEN 'changed since indexing' END AS error
       FROM documents LEFT JOIN labels l USING (doc_id) WHERE doc_id % 3 = 0)""",
 )
@@ -671,6 +683,26 @@ def manifest_difference(spark: SparkSession, d: str) -> DataFrame:
     return met.select("doc_id", F.col("b").isNotNull().alias("in_labels"), F.col("a").isNotNull().alias("in_documents"))
 
 
+@query(
+    "expected_files",
+    f"""WITH i AS ({_INV}), f AS (SELECT relative_path, size_bytes + 1 - quality AS size_bytes FROM i JOIN labels USING (doc_id)
+      UNION ALL SELECT 'more/' || relative_path, size_bytes FROM i WHERE doc_id % 50 = 0)
+    SELECT coalesce(i.relative_path, f.relative_path) AS relative_path,
+      CASE WHEN f.relative_path IS NULL THEN 'missing' WHEN i.relative_path IS NULL THEN 'unexpected' ELSE 'size' END AS problem
+    FROM i FULL JOIN f USING (relative_path) WHERE i.size_bytes IS DISTINCT FROM f.size_bytes""",
+)
+def expected_files(spark: SparkSession, d: str) -> DataFrame:
+    """The inventory is expected; found are labelled documents, some of another size, and a few more."""
+    inv = _inventory(spark, d)
+    more = inv.filter("doc_id % 50 = 0").withColumn("relative_path", F.concat(F.lit("more/"), "relative_path"))
+    return index_store.expected_files(inv, _checkpoint(spark, d, inv).unionByName(more))
+
+
+@query("image_links", "SELECT page_id, replace(url_encode(url), '%2F', '/') AS link FROM pages")
+def image_links(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", S.image_link(F.col("url")).alias("link"))
+
+
 @query("batch_numbers", "SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 16)::BIGINT AS batch FROM documents")
 def batch_numbers(spark: SparkSession, d: str) -> DataFrame:
     return media.batch_numbers(_t(spark, d, "documents").select("doc_id"), "doc_id", 16)

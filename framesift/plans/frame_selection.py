@@ -94,9 +94,10 @@ def reviewed(decided: DataFrame, review: DataFrame, results_sha256: str, count:
     return decided.join(rank, "frame_number", "left")
 
 
-def write_selection(folder: str, candidates: DataFrame, count: int = 17, penalty: float = selection.PENALTY, duplicate: float = selection.DUPLICATE, weights: dict[str, float] | None = None) -> dict:
-    """Decide for one video (frame_number, score, eligible, embedding[, seed_group, components]) and write
-    what replay needs: inputs, similarities, trace, dispositions, audit tables, and last the status."""
+def write_selection(folder: str, candidates: DataFrame, count: int = 17, penalty: float = selection.PENALTY, duplicate: float = selection.DUPLICATE, weights: dict[str, float] | None = None, extra: dict | None = None) -> dict:
+    """Decide for one video (frame_number, score, eligible, embedding[, seed_group, components, picture]) and
+    write what replay needs: inputs, similarities, trace, dispositions, audit tables, the selected
+    pictures if given, and last the status."""
     sinks.empty_folder(folder)
     sinks.mark_incomplete(folder)
     p = candidates.orderBy("frame_number").limit(selection.MAX_CANDIDATES + 1).toPandas()
@@ -105,6 +106,7 @@ def write_selection(folder: str, candidates: DataFrame, count: int = 17, penalty
     vectors = np.stack(p["embedding"].to_numpy()).astype(float)
     similarity = selection.similarity_matrix(vectors)
     groups = selection.seed_groups(p)
+    items = [(int(f), b) for f, b in zip(p["frame_number"], p["picture"], strict=True)] if "picture" in p else []
     inputs = {
         "frames": [int(x) for x in p["frame_number"]],
         "scores": [float(x) for x in p["score"]],
@@ -122,7 +124,9 @@ def write_selection(folder: str, candidates: DataFrame, count: int = 17, penalty
     ).to_csv(f"{folder}/decision-trace.csv", index=False)
     scores = p.drop(columns=[c for c in p if isinstance(p[c].iloc[0], (list, np.ndarray, bytes))])
     scores.assign(automatic_status=[d["status"] for d in ds], selected_rank=pd.array([d["step"] for d in ds], "Int64")).to_csv(f"{folder}/candidate-scores.csv", index=False)
-    report = {
+    if items:
+        sinks.export_pictures([items[i] for i in chosen], folder)
+    report = (extra or {}) | {
         "version": VERSION,
         "inputs": inputs,
         "weights": weights or scoring.WEIGHTS,

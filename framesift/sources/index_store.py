@@ -8,7 +8,9 @@ import hashlib
 import json
 import os
 import shutil
+import time
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +64,19 @@ def stale(inventory: DataFrame, checkpoint: DataFrame) -> DataFrame:
     return met.filter(other).select("now.relative_path", "now.size_bytes", "now.mtime_ns")
 
 
+def expected_files(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """relative_path, problem of a collection against what it should hold (both relative_path, size_bytes):
+    missing, unexpected, or of another size."""
+    a = expected.select("relative_path", F.col("size_bytes").alias("expected_size"))
+    b = found.select("relative_path", F.col("size_bytes").alias("found_size"))
+    problem = (
+        F.when(F.col("found_size").isNull(), "missing")
+        .when(F.col("expected_size").isNull(), "unexpected")
+        .when(F.col("found_size") != F.col("expected_size"), "size")
+    )
+    return a.join(b, "relative_path", "full").select("relative_path", problem.alias("problem")).filter("problem is not null")
+
+
 class VectorIndex:
     """Folder: checkpoint/batch=N (committed extraction rounds), vectors, images, errors,
     manifest.json (written last)."""
@@ -130,11 +145,13 @@ class VectorIndex:
         """Extract what is missing and write the index. `again` lists the collection once more after
         extraction; if it changed, nothing is written. Tables are staged, then renamed."""
         with locked(self.folder):
+            began = time.time()
             settings = self._settings(inventory)
             self._compare(settings, rebuild)
             manifest = settings | {"status": "indexing", "images_root": images_root}
             write_json(f"{self.folder}/manifest.json", manifest)
             extracted = self.extract(inventory, encode, batch_rows)
+            encoded = time.time()
             if again and fingerprint(again()) != settings["inventory_sha256"]:
                 raise RuntimeError("the collection changed meanwhile; rebuild the index")
             rows = self.checkpoint().join(inventory.select("relative_path"), "relative_path", "left_semi")
@@ -151,6 +168,8 @@ class VectorIndex:
                 "processed": extracted,
                 "reused": total - extracted,
                 "files": checksums(self.folder),
+                "timings_seconds": {"extraction": round(encoded - began, 3), "total": round(time.time() - began, 3)},
+                "completed_at": datetime.now(UTC).isoformat(),
                 "status": "complete" if usable else "failed",
             }
             write_json(f"{self.folder}/manifest.json", manifest)

@@ -209,10 +209,22 @@ def thumbnail_plan(matches: DataFrame, images: DataFrame, current: DataFrame) ->
         .when(F.col("size_now").isNull(), "missing")
         .when((F.col("size_now") != F.col("size_bytes")) | (F.col("mtime_now") != F.col("mtime_ns")), "changed since indexing")
     )
-    name = F.format_string("candidates/%06d.jpg", "image_id")
+    name = F.format_string("candidates/%06d.png", "image_id")
     return met.select("image_id", "relative_path", F.when(error.isNull(), name).alias("thumbnail"), error.alias("error"))
 
 
+def thumbnails(scanned: DataFrame, max_side: int = 320, decoder: Decoder | None = None) -> DataFrame:
+    """relative_path, content (a PNG of at most max_side), error of scanned files. One bad file doesn't stop the
+    rest."""
+    small = decode(scanned, decoder, max_side, colour=True)
+
+    @F.pandas_udf("binary")
+    def packed(px: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else png.encode(np.frombuffer(p, np.uint8).reshape(int(b), int(a), 3)) for p, a, b in zip(px, w, h, strict=True)])
+
+    return small.select("relative_path", packed("pixels", "width", "height").alias("content"), "error")
+
+
 def feedback_profile(profile: dict, members: set[str]) -> list[dict]:
     """The examples of a profile: name, criterion, and the workbook members of its roles. Only media members
     that stay in their folder count, and every example needs a preferred picture."""

@@ -77,6 +77,30 @@ def export_selected(items: list[tuple[int, str, str]], folder: str) -> list[str]
     return names
 
 
+def export_pictures(items: list[tuple[int, bytes]], folder: str) -> list[str]:
+    """export_selected() of (frame number, PNG) in rank order."""
+    with tempfile.TemporaryDirectory() as d:
+        given = []
+        for frame, content in items:
+            path = Path(d, f"{frame}.png")
+            path.write_bytes(content)
+            given.append((frame, str(path), hashlib.sha256(content).hexdigest()))
+        return export_selected(given, folder)
+
+
+def write_files(rows: DataFrame, folder: str, name: str, content: str) -> int:
+    """The files of a frame, one row at a time, under the relative paths in column `name`."""
+    n = 0
+    for r in rows.toLocalIterator():
+        target = Path(folder, r[name])
+        if ".." in target.parts:
+            raise ValueError(f"{r[name]} leaves its folder")
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(r[content])
+        n += 1
+    return n
+
+
 def file_digests(folder: str, leave_out: tuple[str, ...] = ()) -> dict[str, str]:
     """sha256 of every file below the folder, by relative path."""
     paths = sorted(p for p in Path(folder).rglob("*") if p.is_file())
@@ -125,5 +149,11 @@ def render_page(title: str, sections: list[tuple[str, DataFrame]], notes: list[s
     return f"<!doctype html><html lang='en'><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}</html>\n"
 
 
+def render_gallery(title: str, pictures: list[tuple[str, str]]) -> str:
+    """A page of pictures (relative path, caption)."""
+    body = "".join(f"<figure><img src='{image_link(p)}' alt=''><figcaption>{html.escape(c)}</figcaption></figure>" for p, c in pictures)
+    return f"<!doctype html><html lang='en'><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}</html>\n"
+
+
 def lowest_margins(pairs: DataFrame, n: int = 12) -> DataFrame:
     return pairs.orderBy("margin", "query", "negative").limit(n)

@@ -108,6 +108,29 @@ def test_collection(spark, collection):
     assert media.errors(media.decode(media.scan(spark, str(collection)), huge)).count() == 15
 
 
+def test_semantic_encoder(spark, collection):
+    d = media.decode(media.scan(spark, str(collection)), media.plain_decoder, colour=True)
+    seen = (F.col("pixels"), F.col("width"), F.col("height"))
+
+    def make(scale):
+        def encode(pictures):
+            assert len(pictures) <= 4
+            return np.array([[scale, 0, 0] for _ in pictures])
+
+        return lambda: encode
+
+    got = d.withColumn("v", descriptor.semantic_column(*seen, make(1.0), 3, batch=4)).select("error", "v").collect()
+    assert sum(r["v"] == [1.0, 0.0, 0.0] for r in got) == 14 and sum(r["v"] is None and r["error"] is not None for r in got) == 1
+    with pytest.raises(Exception, match="invalid or zero"):
+        d.withColumn("v", descriptor.semantic_column(*seen, make(0.0), 3)).collect()
+
+
+def test_thumbnails(spark, collection):
+    got = media.thumbnails(media.scan(spark, str(collection)), 16, media.plain_decoder).collect()
+    assert sum(r["error"] is not None for r in got) == 1
+    assert all(png.decode(bytes(r["content"])).shape == (12, 16, 3) for r in got if r["error"] is None)
+
+
 def test_decoders():
     assert media.plain_decoder(b"P5 2 1 255 \x01\x02").tolist() == [[[1], [2]]]
     assert media.plain_decoder(b"P6 1 1 255 abc").shape == (1, 1, 3)
@@ -179,6 +202,7 @@ def test_query_select_and_replay(spark, collection, film, tmp_path):
     best = results["shots"][0]["queries"][0]["matches"][0]
     assert best["rank"] == 1 and best["relative_path"] == "s0/00.png" and best["score"] > 0.95
     sinks.verify_complete(out)
+    assert results["thumbnail_errors"] == [] and len(list(Path(out, "candidates").glob("*.png"))) >= 3 and "created_at" in results
     with pytest.raises(ValueError, match="not empty"):
         video_query.run(spark, film, index, out)
 
@@ -199,6 +223,8 @@ def test_query_select_and_replay(spark, collection, film, tmp_path):
     assert done["candidates"] == 9 and 1 <= done["selected"] <= 4
     report = json.loads(Path(target, "selection.json").read_text())
     assert report["trace"][0]["feedback_example"] == "first" and Path(target, "candidate-scores.csv").read_text().count("\n") == 10
+    assert len(list(Path(target, "selected").glob("01-frame-*.png"))) == 1 and Path(target, "selected-frames.zip").exists()
+    assert report["feedback_source"]["workbook_sha256"] == sinks.sha256_file(str(book))
     assert "never" in (tmp_path / "selection-report.html").read_text()
     review["results_sha256"] = "0"
     (tmp_path / "review.json").write_text(json.dumps(review))
