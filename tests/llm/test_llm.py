@@ -368,8 +368,10 @@ def brute_components(rows):
     return [(len(s), least[g]) for s, g in zip(sets, group, strict=True)]
 
 
-def test_jaccard_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("salt_df", [1 << 12, 3])  # 3: postings of frequent tokens are dealt to several groups
+def test_jaccard_brute_force(spark, monkeypatch, salt_df):
     monkeypatch.setattr(ngram_join, "HOT_DF", 5)
+    monkeypatch.setattr(ngram_join, "SALT_DF", salt_df)
     rng = random.Random(8)
     word = lambda: rng.choice("abcdefghij") + rng.choice("abcdefghij") + str(rng.randrange(40))
     passage = [word() for _ in range(30)]
