@@ -2,6 +2,7 @@
 
 import io
 import json
+import shutil
 import zipfile
 from pathlib import Path
 
@@ -122,7 +123,7 @@ def test_semantic_encoder(spark, collection):
     got = d.withColumn("v", descriptor.semantic_column(*seen, make(1.0), 3, batch=4)).select("error", "v").collect()
     assert sum(r["v"] == [1.0, 0.0, 0.0] for r in got) == 14 and sum(r["v"] is None and r["error"] is not None for r in got) == 1
     with pytest.raises(Exception, match="invalid or zero"):
-        d.withColumn("v", descriptor.semantic_column(*seen, make(0.0), 3)).collect()
+        d.withColumn("v", descriptor.semantic_column(*seen, make(0.0), 3, batch=4)).collect()
 
 
 def test_thumbnails(spark, collection):
@@ -235,9 +236,8 @@ def test_query_select_and_replay(spark, collection, film, tmp_path):
     sinks.verify_complete(str(tmp_path / "again"))
     for name, change in (("frame-similarities.npy", b"x"), ("selection.json", b" ")):
         copy = tmp_path / f"copy-{name}"
-        copy.mkdir()
-        for p in Path(target).iterdir():
-            (copy / p.name).write_bytes(p.read_bytes() + (change if p.name == name else b""))
+        shutil.copytree(target, copy)
+        (copy / name).write_bytes((copy / name).read_bytes() + change)
         with pytest.raises(ValueError):
             frame_selection.replay_folder(str(copy), str(tmp_path / f"out-{name}"))
     with pytest.raises(ValueError, match="contain"):
